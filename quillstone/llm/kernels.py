@@ -88,6 +88,11 @@ class Slab:
     def folded(self) -> np.ndarray:
         return fold_table()[self.code]
 
+    @cached_property
+    def folded_count(self) -> np.ndarray:
+        """Letters and numbers in each text."""
+        return sums((self.folded != 0).astype(np.int64), np.concatenate([[0], self.ends]))
+
     @cached_property
     def spans(self) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of each word, in the slab."""
