@@ -37,7 +37,7 @@ wq AS (SELECT own, bin, n / sum(n) OVER (PARTITION BY own) AS q FROM (SELECT own
 ws AS (SELECT rid, own, sum(n) AS size FROM b GROUP BY ALL HAVING sum(n) >= {MIN_WORDS}),
 wd AS (SELECT rid, sqrt(greatest(sum({term}) / 2, 0)) AS d FROM (SELECT ws.rid, coalesce(b.n, 0) / ws.size AS p, q FROM ws JOIN wq ON wq.own = ws.own LEFT JOIN b ON b.rid = ws.rid AND b.bin = wq.bin) GROUP BY rid)
 SELECT doc_id, CASE WHEN len(w) > 0 THEN round(cd.d, 6) END AS char_distance, CASE WHEN len(w) > 0 THEN round(wd.d, 6) END AS word_distance,
-    CASE WHEN len(w) = 0 THEN 'empty' WHEN cd.d > {CHAR_BOUND} THEN 'characters' WHEN wd.d > {WORD_BOUND} THEN 'words' ELSE 'keep' END AS verdict
+    CASE WHEN len(w) = 0 THEN 'empty' WHEN cd.d > {CHAR_BOUND[0]} + {CHAR_BOUND[1]} / sqrt(size) THEN 'characters' WHEN wd.d > {WORD_BOUND[0]} + {WORD_BOUND[1]} / sqrt(len(w)) THEN 'words' ELSE 'keep' END AS verdict
 FROM d LEFT JOIN cd USING (rid) LEFT JOIN wd USING (rid)"""
 
 

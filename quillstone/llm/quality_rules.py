@@ -4,7 +4,8 @@ Two histograms of each document are held against the reference of its language,
 histograms of all documents of that language: characters by class, and words by common word (the
 listed function words, and one bin for all others). The distance is the square root of the
 Jensen-Shannon divergence in bits, from 0 to 1. A document is rejected when a distance exceeds its
-bound; a histogram of too few characters or words is not judged, as its noise would exceed the bound.
+bound, a base plus a slope over the root of the number of characters or words, since the noise of a
+histogram falls with that root. A histogram of fewer than the least number is not judged at all.
 
 Defined results
     null text, or text without any letter or number: rejected ("empty"), distances null.
@@ -36,7 +37,8 @@ COMMON_WORDS = {
 }
 CLASSES = ("lower", "upper", "letter", "number", "space", "stop", "shout", "symbol")
 ALL = "*"
-CHAR_BOUND, WORD_BOUND = 0.25, 0.45
+#: Base and slope of the bound of a distance.
+CHAR_BOUND, WORD_BOUND = (0.15, 3.5), (0.05, 2.6)
 MIN_CHARS, MIN_WORDS = 100, 60
 _state: dict[str, object] = {}
 
@@ -133,7 +135,7 @@ def references(docs: DataFrame, words: dict[str, tuple[str, ...]] = COMMON_WORDS
     return counted.groupBy("kind", "lang", "bin").agg(F.sum("n").alias("n"))
 
 
-def _judge(words: dict[str, tuple[str, ...]], refs: dict[tuple[str, str], np.ndarray], bounds: tuple[float, float], least: tuple[int, int]) -> Callable:
+def _judge(words: dict[str, tuple[str, ...]], refs: dict[tuple[str, str], np.ndarray], bounds: tuple[tuple[float, float], tuple[float, float]], least: tuple[int, int]) -> Callable:
     def judged(text: pa.Array, lang: pa.Array) -> pa.Array:
         order, bins = _lexicon(words)
         langs = lang.to_pylist()
@@ -151,7 +153,8 @@ def _judge(words: dict[str, tuple[str, ...]], refs: dict[tuple[str, str], np.nda
             empty = slab.folded_count == 0
             char[empty] = word[empty] = np.nan
             with np.errstate(invalid="ignore"):
-                verdict = np.select([empty, char > bounds[0], word > bounds[1]], ["empty", "characters", "words"], "keep")
+                over = [d > base + slope / np.sqrt(np.maximum(x.sum(axis=1), 1)) for d, x, (base, slope) in zip((char, word), (c, w), bounds, strict=True)]
+                verdict = np.select([empty, *over], ["empty", "characters", "words"], "keep")
             parts.append((char, word, verdict))
         char, word = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in (0, 1))
         verdict = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, str)
@@ -160,7 +163,7 @@ def _judge(words: dict[str, tuple[str, ...]], refs: dict[tuple[str, str], np.nda
     return judged
 
 
-def judge(docs: DataFrame, words: dict[str, tuple[str, ...]] = COMMON_WORDS, char_bound: float = CHAR_BOUND, word_bound: float = WORD_BOUND, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
+def judge(docs: DataFrame, words: dict[str, tuple[str, ...]] = COMMON_WORDS, char_bound: tuple[float, float] = CHAR_BOUND, word_bound: tuple[float, float] = WORD_BOUND, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with ``char_distance``, ``word_distance`` and ``verdict`` (keep, empty, characters or words)."""
     refs: dict[tuple[str, str], np.ndarray] = {}
     rows = references(docs, words).collect()  # at most 21 for each listed language
@@ -173,6 +176,6 @@ def judge(docs: DataFrame, words: dict[str, tuple[str, ...]] = COMMON_WORDS, cha
     return kept.withColumn("_judged", udf(F.col("text").cast("string"), F.col("lang").cast("string"))).select(*kept.columns, "_judged.*")
 
 
-def drop_rejected(docs: DataFrame, **bounds: float) -> DataFrame:
+def drop_rejected(docs: DataFrame, **bounds: object) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
     return judge(docs, **bounds).where("verdict = 'keep'").select(*docs.columns)
