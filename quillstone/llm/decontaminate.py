@@ -16,6 +16,7 @@ Defined results
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -31,7 +32,7 @@ WINDOW, LEAST = 8, 3
 #: Characters of items in one automaton; a larger benchmark takes several scans.
 AUTOMATON_CHARS = 8_000_000
 SCHEMA = "doc_id bigint, item_id bigint, start bigint, stop bigint, words bigint"
-_built: dict[int, object] = {}
+_built: dict[tuple, object] = {}
 
 
 def normalised(slab: Slab) -> tuple[np.ndarray, np.ndarray]:
@@ -96,17 +97,18 @@ def scan(slab: Slab, a: ahocorasick.Automaton) -> list[tuple[int, int, int, int,
 
 def _ready_automaton(items: object, window: int, least: int) -> ahocorasick.Automaton:
     """Built once in each worker."""
-    if items.id not in _built:
+    key = items.id, window, least
+    if key not in _built:
         _built.clear()
-        _built[items.id] = automaton(items.value, window, least)
-    return _built[items.id]
+        _built[key] = automaton(items.value, window, least)
+    return _built[key]
 
 
 class _Items:
     """Broadcast items with a key that outlives pickling."""
 
     def __init__(self, broadcast: object) -> None:
-        self.broadcast, self.id = broadcast, id(broadcast)
+        self.broadcast, self.id = broadcast, uuid.uuid4().hex
 
     @property
     def value(self) -> list[tuple[int, str]]:

@@ -102,7 +102,7 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 def fit_model(docs: DataFrame, most: int = FIT_TEXTS) -> Model | None:
     """Fitted on at most so many labelled documents of each language, those whose ids have the smallest hashes."""
     ready(docs.sparkSession)
-    labelled = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
+    labelled = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
     langs = [r[0] for r in labelled.groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     if not langs:
         return None

@@ -91,4 +91,4 @@ def take_mixture(docs: DataFrame, weights: dict[str, float] | None = None, defau
         cuts = F.broadcast(cuts)
     doc, source, tokens, key = _keys(docs)
     place = F.struct(key, doc, tokens)
-    return docs.withColumns({"_mix_source": source, "_mix_place": place}).join(cuts, F.col("_mix_source") == F.col("_source")).where(F.col("_mix_place") <= F.col("_cut")).select(*docs.columns)
+    return docs.join(cuts, (source == cuts["_source"]) & (place <= cuts["_cut"]), "left_semi")

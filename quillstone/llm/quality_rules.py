@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ready
@@ -163,8 +163,8 @@ def _judge(words: dict[str, tuple[str, ...]], refs: dict[tuple[str, str], np.nda
     return judged
 
 
-def judge(docs: DataFrame, words: dict[str, tuple[str, ...]] = COMMON_WORDS, char_bound: tuple[float, float] = CHAR_BOUND, word_bound: tuple[float, float] = WORD_BOUND, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with ``char_distance``, ``word_distance`` and ``verdict`` (keep, empty, characters or words)."""
+def _judged(docs: DataFrame, words: dict[str, tuple[str, ...]] = COMMON_WORDS, char_bound: tuple[float, float] = CHAR_BOUND, word_bound: tuple[float, float] = WORD_BOUND, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> Column:
+    """A struct of both distances and the verdict of each document, against the references of all of them."""
     refs: dict[tuple[str, str], np.ndarray] = {}
     rows = references(docs, words).collect()  # at most 21 for each listed language
     for r in rows:
@@ -172,10 +172,21 @@ def judge(docs: DataFrame, words: dict[str, tuple[str, ...]] = COMMON_WORDS, cha
         refs.setdefault((r["kind"], r["lang"]), np.zeros(size, np.int64))[r["bin"]] = r["n"]
     refs["char", ALL] = sum((x for (kind, _), x in refs.items() if kind == "char"), np.zeros(len(CLASSES), np.int64))
     udf = F.arrow_udf(_judge(words, refs, (char_bound, word_bound), (min_chars, min_words)), "char_distance double, word_distance double, verdict string")
+    return udf(F.col("text").cast("string"), F.col("lang").cast("string"))
+
+
+def judge(docs: DataFrame, **options: object) -> DataFrame:
+    """The documents with ``char_distance``, ``word_distance`` and ``verdict`` (keep, empty, characters or words).
+
+    ``options`` are the word lists, bounds and least sizes that stand at the top of this module.
+    """
     kept = docs.drop("char_distance", "word_distance", "verdict")
-    return kept.withColumn("_judged", udf(F.col("text").cast("string"), F.col("lang").cast("string"))).select(*kept.columns, "_judged.*")
+    name = "_judged"
+    while name in kept.columns:
+        name += "_"
+    return kept.select("*", _judged(docs, **options).alias(name)).select(*kept.columns, f"{name}.*")
 
 
-def drop_rejected(docs: DataFrame, **bounds: object) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    return judge(docs, **bounds).where("verdict = 'keep'").select(*docs.columns)
+def drop_rejected(docs: DataFrame, **options: object) -> DataFrame:
+    """The documents that the rules keep, with their own columns as they are."""
+    return docs.where(_judged(docs, **options)["verdict"] == "keep")

@@ -180,7 +180,7 @@ def fit_ensemble(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> En
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
     known = known.orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(most).select("_id", F.col("low").cast("double").alias("y"))
     stats = statistics(F.col("text"))
-    rows = docs.join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_id", "y", *(c.alias(n) for n, c in stats.items())).dropDuplicates(["_id"]).orderBy("_id").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_id", "y", *(c.alias(n) for n, c in stats.items())).dropDuplicates(["_id"]).orderBy("_id").collect()
     data = np.array([tuple(r)[1:] for r in rows], np.float64).reshape(len(rows), len(stats) + 1)
     return fit(data[:, 1:], data[:, 0], list(stats))
 

@@ -104,7 +104,8 @@ def assign(docs: DataFrame, slot_map: SlotMap, id_column: str = "doc_id") -> Dat
     spark = ready(docs.sparkSession)
     docs = docs.drop("slot", "shard", "map_version")
     rows = slot_map.rows(spark).select(F.col("slot").alias("_slot"), "shard", F.col("version").alias("map_version"))
-    return docs.withColumn("slot", slot_of(docs[id_column])).join(F.broadcast(rows), F.col("slot") == F.col("_slot")).select(*docs.columns, "slot", "shard", "map_version")
+    joined = docs.alias("records").join(F.broadcast(rows), slot_of(docs[id_column]) == rows["_slot"])
+    return joined.select("records.*", rows["_slot"].alias("slot"), rows["shard"], rows["map_version"])
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:

@@ -1,0 +1,39 @@
+"""The registered queries and the pipeline over the small tables, against SQL where there is one."""
+
+import sys
+from pathlib import Path
+
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+import __spark_entry__ as entry
+import corpus_pipeline
+from quillstone.llm.queries import ORACLE, QUERIES
+from sql_twin import compare, duck
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_sql(spark, sf, name):
+    compare(QUERIES[name](spark, sf), duck(sf), ORACLE[name])
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE)))
+def test_every_row_has_a_result(spark, sf, name):
+    got = QUERIES[name](spark, sf)
+    if name.startswith("op3"):
+        assert got.selectExpr("sum(n_records)").first()[0] == spark.read.parquet(f"{sf}/pages.parquet").count()
+    else:
+        table = "pages" if name.startswith("op6") else "documents"
+        assert got.count() == spark.read.parquet(f"{sf}/{table}.parquet").count()
+
+
+def test_pipeline(spark, sf):
+    assert len(corpus_pipeline.STAGES) == 5 and "pipeline" in entry.queries()
+    compare(corpus_pipeline.run(spark, sf), duck(sf), corpus_pipeline.ORACLE_SQL)
+
+
+def test_stages_of_nothing(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, sf).collect() == []
