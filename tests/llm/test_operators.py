@@ -222,7 +222,7 @@ def brute_rules(rows):
 
 
 def test_rules(docs, wide, none, rows):
-    own = [*rows, (90, "!!! ### " * 60, "en", "a", 0), (91, "the " * 300, "en", "a", 0)]
+    own = [*rows, (90, "a!!! ### " * 60, "en", "a", 0), (91, "the w123 w345 " * 100, "en", "a", 0)]
     more = docs.sparkSession.createDataFrame(own, DOCS)
     want = list(brute_rules(own))
     got = quality_rules.judge(more)
