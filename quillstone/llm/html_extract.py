@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ready
+from ..session import checkpoint, ready
 
 #: Labelled pages that the weights are fitted on, at most.
 FIT_PAGES = 400
@@ -143,10 +143,14 @@ def fit(pages: list[str]) -> Weights:
 
 
 def fit_weights(pages: DataFrame, most: int = FIT_PAGES) -> Weights:
-    """Weights from at most so many labelled pages, those whose ids have the smallest hashes."""
-    own = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html")).where(F.lower("html").contains(f"<{MARK}"))
-    sample = own.orderBy(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), "html").limit(most)
-    return fit([r["html"] for r in sample.collect()])
+    """Weights from at most so many labelled pages, those whose ids have the smallest hashes; repeated rows count once."""
+    ready(pages.sparkSession)
+    key = F.md5(F.coalesce(F.col("page_id").cast("bigint").cast("string"), F.lit("")))
+    own = pages.select(key.alias("key"), F.col("html").cast("string").alias("html")).where(F.lower("html").contains(f"<{MARK}")).withColumn("print", F.xxhash64("html"))
+    # Hashes are chosen first, by a shuffle: the driver gets the pages of the sample alone, however many tasks there are.
+    picked = checkpoint(own.select("key", "print").orderBy("key", "print").limit(most)).distinct()
+    sample = own.join(F.broadcast(picked), ["key", "print"]).dropDuplicates(["key", "print"])
+    return fit([r["html"] for r in sorted(sample.collect(), key=lambda r: (r["key"], r["print"]))])
 
 
 def _extractor(w: Weights) -> Callable:
