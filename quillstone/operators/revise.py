@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scoring import resolved_ids
+from ..functions.scoring import resolved_ids, text_words
 from ..functions.text import canonical
 
-AUTO_MERGE, SIMILAR, REINFORCE = 0.95, 0.5, 0.7
+AUTO_MERGE, SIMILAR, REINFORCE, CANDIDATES = 0.95, 0.5, 0.7, 5
 
 
 def merged(c: Column, d: Column, new: Column) -> tuple[Column, Column]:
@@ -39,6 +39,25 @@ def first_of_batch(new: DataFrame) -> DataFrame:
     return new.withColumn("_canonical", canonical(F.col("text"))).withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
 
+def similar(new: DataFrame, existing: DataFrame, k: int = CANDIDATES, least: float = SIMILAR) -> DataFrame:
+    """(id, match_id, score): the k most similar active rows of each new row's context (ties: the smallest ids).
+
+    The score is the cosine of the two sets of words. Statements that share a word meet by an equi-join on
+    it, those that share none score 0, so no pair is lost; rows of equal canonical text are compared once.
+    """
+    words = F.filter(text_words(F.col("_text")), lambda w: w != "")
+    side = lambda df: df.select("context_id", canonical(F.col("text")).alias("_text"), "id")
+    fresh, known = side(new), side(existing.where("status = 'ACTIVE'"))
+    posted = lambda df, p: df.select("context_id", "_text").distinct().withColumn("_words", words).select("context_id", F.col("_text").alias(f"{p}text"), F.col("_words").alias(f"{p}words"), F.explode("_words").alias("_w"))
+    met = posted(fresh, "_a").join(posted(known, "_b"), ["context_id", "_w"]).withColumn("_both", F.array_intersect("_awords", "_bwords")).where(F.col("_both")[0] == F.col("_w"))
+    score = F.size("_both") / F.sqrt((F.size("_awords") * F.size("_bwords")).cast("double"))
+    scored = met.select("context_id", "_atext", F.col("_btext").alias("_text"), score.alias("score")).where(F.col("score") >= least)
+    nth = lambda keys, *by: F.row_number().over(Window.partitionBy("context_id", *keys).orderBy(*by))
+    rows = known.withColumn("_nth", nth(["_text"], "id")).where(F.col("_nth") <= k).select("context_id", "_text", F.col("id").alias("match_id"))
+    best = scored.join(rows, ["context_id", "_text"]).withColumn("_nth", nth(["_atext"], F.desc("score"), "match_id")).where(F.col("_nth") <= k)
+    return fresh.withColumnRenamed("_text", "_atext").join(best, ["context_id", "_atext"]).select("id", "match_id", "score")
+
+
 def fast_path(new: DataFrame, existing: DataFrame, similar: DataFrame | None = None) -> DataFrame:
     """(id, action, match_id) of each row that is first of its canonical text.
 

@@ -66,6 +66,15 @@ def l10b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revise.fast_path(new, old, pairs.select("id", "match_id", (((F.col("a") * 7 + F.col("b") * 13) % 100) / F.lit(100.0)).alias("score")))
 
 
+@query("l10_j10_revise_similar_all")
+def l10c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is new or existing, candidates by the similarity of words; a quarter of the statements is new only. l10_j10_revise_similar keeps to what its SQL has."""
+    p = propositions(spark, sf_dir)
+    fresh = "event_id % 4 = 0 OR crc32(text) % 4 = 0"
+    new, old = p.where(fresh), p.where(f"NOT ({fresh})")
+    return revise.fast_path(new, old, revise.similar(revise.first_of_batch(new), old))
+
+
 @query("l12_classified", sql("SELECT id, ['MERGED', 'CONTRADICTED', 'GENERALIZED', 'REINFORCED', 'NEW'][rank + 1] AS action, CASE WHEN rank < 4 THEN match_id END AS match_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank, score DESC, match_id) AS nth FROM (SELECT 'o' || l_orderkey AS id, 'p' || l_partkey AS match_id, l_quantity / 50 AS score, CASE l_returnflag WHEN 'A' THEN CASE WHEN l_linenumber = 1 THEN 0 ELSE 2 END WHEN 'R' THEN 1 ELSE CASE WHEN l_quantity / 50 >= 0.7 THEN 3 ELSE 4 END END AS rank FROM lineitem)) WHERE nth = 1"))
 def l12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..session import table
