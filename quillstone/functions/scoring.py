@@ -83,10 +83,14 @@ def resolved_ids(mentions: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(mentions, lambda m: m["resolved_id"]), lambda x: x.isNotNull()))
 
 
-def consolidation_similarity(text_a: Column, ids_a: Column, text_b: Column, ids_b: Column) -> Column:
+def words_and_entities(words_a: Column, ids_a: Column, words_b: Column, ids_b: Column) -> Column:
     """0.7 of the words' overlap and 0.3 of the entities'; two rows without entities count half there, one such row 0."""
     entities = F.when((F.size(ids_a) == 0) & (F.size(ids_b) == 0), 0.5).when((F.size(ids_a) == 0) | (F.size(ids_b) == 0), 0.0).otherwise(jaccard(ids_a, ids_b))
-    return F.lit(0.7) * jaccard(text_words(text_a), text_words(text_b)) + F.lit(0.3) * entities
+    return F.lit(0.7) * jaccard(words_a, words_b) + F.lit(0.3) * entities
+
+
+def consolidation_similarity(text_a: Column, ids_a: Column, text_b: Column, ids_b: Column) -> Column:
+    return words_and_entities(text_words(text_a), ids_a, text_words(text_b), ids_b)
 
 
 def recall_relevance(query_words: list[str], as_of: datetime | str | Column) -> Column:

@@ -156,6 +156,15 @@ def l24(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
+@query("l24_l28_m05_consolidate_all")
+def l24b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is of the session or existing, and all are compared; l24_l28_m05_consolidate keeps to what its SQL has."""
+    p = propositions(spark, sf_dir)
+    session = "event_id % 4 = 0 OR crc32(text) % 4 = 0"
+    out = consolidate.consolidate(p.where(session), p.where(f"NOT ({session})"))
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
 @query("l26_j11_contradictions", sql(f"SELECT CASE WHEN a.eff < b.eff THEN a.id ELSE b.id END AS id, CASE WHEN a.eff < b.eff THEN b.id ELSE a.id END AS other_id, CASE WHEN CASE WHEN a.eff < b.eff THEN a.pinned ELSE b.pinned END THEN 'REVIEW' ELSE 'CONTRADICTED' END AS outcome FROM (SELECT DISTINCT x.proposition_id AS i, y.proposition_id AS j FROM m x JOIN m y ON x.context_id = y.context_id AND x.resolved_id = y.resolved_id AND x.proposition_id < y.proposition_id) JOIN props a ON a.id = i JOIN props b ON b.id = j WHERE a.text <> b.text AND (a.text LIKE '%error' OR b.text LIKE '%error') AND (a.text LIKE '%purchase' OR b.text LIKE '%purchase') AND {AT} IS NOT NULL", "props", "mentions", m="SELECT * FROM mentions WHERE status = 'ACTIVE' AND resolved_id LIKE 'user-%'"))
 def l26(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases and errors of one person contradict each other here."""

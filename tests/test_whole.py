@@ -82,3 +82,41 @@ def test_revision_is_of_every_event(spark, sf):
     got = QUERIES["l10_j10_revise_similar_all"](spark, sf).collect()
     assert sorted(map(tuple, got)) == revised(new, old)
     assert {r["action"] for r in got} >= {"MERGED", "PENDING"}
+
+
+def overlap(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def consolidated(session, old):
+    """{id: (action, match_id, confidence)} by comparing every row with every row of its context."""
+    words = lambda r: set(r["text"].lower().split())
+    ids = lambda r: {m["resolved_id"] for m in r["mentions"]} - {None}
+    known = defaultdict(list)
+    for o in old:
+        known[o["context_id"]].append((o, words(o), ids(o)))
+    out = {}
+    for s in session:
+        w, e, best = words(s), ids(s), None
+        for o, v, f in known[s["context_id"]]:
+            score = 0.7 * overlap(w, v) + 0.3 * (overlap(e, f) if e and f else 0.0 if e or f else 0.5)
+            if score >= 0.7 and (best is None or (-score, o["id"]) < best[:2]):
+                best = (-score, o["id"], o["confidence"])
+        if best is None:
+            out[s["id"]] = ("PROMOTED" if s["confidence"] >= 0.6 else "DISCARDED", None, round(s["confidence"], 5))
+        elif -best[0] > 0.9:
+            out[s["id"]] = ("REINFORCED", best[1], round(min(1.0, best[2] + 0.1), 5))
+        else:
+            out[s["id"]] = ("MERGED", best[1], round((best[2] + s["confidence"]) / 2, 5))
+    return out
+
+
+def test_consolidation_is_of_every_event(spark, sf):
+    rows = [r.asDict(recursive=True) for r in propositions(spark, sf).collect()]
+    fresh = lambda r: r["event_id"] % 4 == 0 or zlib.crc32(r["text"].encode()) % 4 == 0
+    want = consolidated([r for r in rows if fresh(r)], [r for r in rows if not fresh(r)])
+    got = {r["id"]: (r["action"], r["match_id"], r["confidence"]) for r in QUERIES["l24_l28_m05_consolidate_all"](spark, sf).collect()}
+    assert got.keys() == want.keys()
+    for i, (action, match, confidence) in want.items():
+        assert got[i][:2] == (action, match) and abs(got[i][2] - confidence) < 2e-5
+    assert len({a for a, _, _ in want.values()}) > 2
