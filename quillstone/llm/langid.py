@@ -100,16 +100,17 @@ def fit(texts: list[str], langs: list[str]) -> Model:
 
 
 def fit_model(docs: DataFrame, most: int = FIT_TEXTS) -> Model | None:
-    """Fitted on at most so many labelled documents of each language, those whose ids have the smallest hashes."""
+    """Fitted on at most so many labelled documents of each language, those whose ids have the smallest hashes; equal rows count once."""
     ready(docs.sparkSession)
     labelled = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
     langs = [r[0] for r in labelled.groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
     if not langs:
         return None
     order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    ids = labelled.where(F.col("lang").isin(langs)).select("lang", "doc_id").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    sample = labelled.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", F.col("text").cast("string").alias("text")).orderBy("lang", F.md5(F.col("doc_id").cast("string")), "doc_id", "text")
-    rows = sample.limit(most * len(langs)).collect()
+    ids = labelled.where(F.col("lang").isin(langs)).select("lang", "doc_id").withColumn("nth", F.dense_rank().over(order)).where(F.col("nth") <= most).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    sample = labelled.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", F.col("text").cast("string").alias("text")).distinct()
+    each = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "text")
+    rows = sample.withColumn("nth", F.row_number().over(each)).where(F.col("nth") <= most).orderBy("lang", "nth").collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
