@@ -91,7 +91,7 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         (c, "works_at", who, _text("co", F.floor(k / 10))),
         (c, "member_of", who, _text("team", F.floor(k / 7))),
-        (c.where("c_custkey % 20 = 0"), "lives_in", who, _text("n", F.col("c_nationkey"))),
+        (c, "lives_in", who, _text("n", F.col("c_nationkey"), "-", F.floor(k / 25))),
         (c.where("c_custkey > 0"), "friend_of", who, _text("c", F.floor(k / 2))),
         (c.where("c_custkey % 4 = 0"), "colleague_of", who, _text("c", k + 1)),
         (c.where("c_custkey % 5 = 0"), "expert_in", who, F.lower("c_mktsegment")),
@@ -118,7 +118,12 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
 
 
+def name_word(k: Column) -> Column:
+    """A surname-like word of ten letters for a number."""
+    return F.initcap(F.translate(F.substring(F.md5(k.cast("string")), 1, 10), "0123456789", "ghijklmnop"))
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as named entities; every ninth shares its name with another."""
     k = F.col("c_custkey")
-    return table(spark, sf_dir, "customer").select(_text("c", k).alias("id"), _text("Dr. Cust", k - F.when(k % 9 == 8, 1).otherwise(0), " Smith").alias("name"), F.array(F.lit("Customer"), F.initcap(F.lower("c_mktsegment"))).alias("labels"), F.col("c_nationkey").alias("nation"))
+    return table(spark, sf_dir, "customer").select(_text("c", k).alias("id"), _text("Dr. ", name_word(k - F.when(k % 9 == 8, 1).otherwise(0)), " Smith").alias("name"), F.array(F.lit("Customer"), F.initcap(F.lower("c_mktsegment"))).alias("labels"), F.col("c_nationkey").alias("nation"))

@@ -18,7 +18,7 @@ def person_name(name: Column) -> Column:
     s = F.trim(F.regexp_replace(s, r"^([^,]+),\s*([^,].*)$", "$2 $1"))
     s = F.regexp_replace(s, r"(?i)^(?:mrs|mr|ms|dr|prof)\.?\s+", "")
     s = F.regexp_replace(s, r"(?i)\s+(?:jr\.?|sr\.?|iii|ii|iv)$", "")
-    s = F.regexp_replace(s, r"(\b\w{2,})\s+[A-Z]\.?\s+(\w{2,}\b)", "$1 $2")
+    s = F.regexp_replace(s, r"(?<=\w\w)\s+[A-Z]\.?\s+(?=\w\w)", " ")
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 

@@ -2,56 +2,139 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .graph import components
+from ..session import checkpoint, ready
+from .fuzzy import near_either
 
 LEVELS = ("id", "exact", "normalized", "partial", "fuzzy", "vector")
 
 
+#: Confidence of a match that a searcher is sure of, and of one that a bakeoff picks.
+SURE, PICKED = 0.95, 0.8
+ACCEPT, CANDIDATE, NEAREST, BLOCK = 0.95, 0.7, 10, 1024
+_NO_LABELS = "array<string>"
+
+
 def _labels_agree(a: Column, b: Column) -> Column:
     """Label lists share one, or one side has none."""
     return (F.size(a) == 0) | (F.size(b) == 0) | F.arrays_overlap(a, b)
 
 
-def candidates(asked: DataFrame, entities: DataFrame, block: str | None = None) -> DataFrame:
-    """(qid, level, id) for ``asked`` (qid, name, labels[, id, block]) and entities (id, name, labels[, block]).
+def _named(rows: DataFrame, p: str, *extra: Column) -> DataFrame:
+    """One row for each name with its labels: the name, its lower-case and its normalised form."""
+    labels = F.coalesce("labels", F.array().cast(_NO_LABELS))
+    kinds = rows.where("name IS NOT NULL").select(F.col("name").alias(f"{p}name"), labels.alias(f"{p}labels"), *[c for c in extra if c is not None])
+    kinds = kinds.groupBy(f"{p}name", f"{p}labels").agg(F.count_distinct("_id").alias(f"{p}n"), F.min("_id").alias(f"{p}id"))
+    return checkpoint(kinds.withColumn(f"{p}low", F.lower(f"{p}name")).withColumn(f"{p}norm", F.lower(text.person_name(F.col(f"{p}name")))))
+
+
+def _words(rows: DataFrame, p: str, least: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Names that are a single word, and the words of the others, each once, as ``_w``."""
+    words = F.split(f"{p}norm", " ")
+    many = rows.where(F.size(words) > 1).withColumn("_w", F.explode(F.array_distinct(words)))
+    return tuple(x.where(F.length("_w") >= least) for x in (rows.where(F.size(words) == 1).withColumn("_w", F.col(f"{p}norm")), many))
+
+
+def _partial(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of which one is a single word of the other, by equi-joins on the word."""
+    (one_a, many_a), (one_b, many_b) = _words(a, "a_"), _words(b, "b_")
+    return one_a.join(many_b, "_w").drop("_w").unionByName(many_a.join(one_b, "_w").drop("_w"))
+
+
+def _fuzzy(a: DataFrame, b: DataFrame, form: str) -> DataFrame:
+    """Pairs within a fifth of the shorter one's length."""
+    left, right = a.select(F.col(f"a_{form}").alias("s")).distinct(), b.select(F.col(f"b_{form}").alias("t")).distinct()
+    near = near_either(left, right)
+    return a.join(near, F.col(f"a_{form}") == F.col("s")).join(b, F.col(f"b_{form}") == F.col("t")).drop("s", "t", "distance")
+
 
-    Every level is an equi-join on a key of its name: the id, the lower-case name, the normalised name, or
-    a word of the name. The fuzzy level compares inside a ``block`` column and neighbouring lengths only.
+def candidates(asked: DataFrame, entities: DataFrame) -> DataFrame:
+    """(qid, level, n, id, considered, score, best) for ``asked`` (qid, name, labels[, id]) and ``entities`` (id, name, labels).
+
+    For each level that has a candidate: how many it is sure of, the smallest id of those, how many it
+    considered, and the best of them by the share of equal letters (ties: the smallest id). Rows of one
+    name and labels are compared once, so a name that many rows have costs one comparison. Every level is
+    an equi-join on a key of the name: lower case, normalised, a word, or a segment (see ``fuzzy``).
+    A null name is found by its id only; null labels are no labels, which agree with all.
     """
-    extra = [block] if block else []
-    q = asked.withColumn("_name", F.lower("name")).withColumn("_norm", F.lower(text.person_name(F.col("name"))))
-    e = entities.select(F.col("id").alias("_id"), F.col("name").alias("_ename"), F.col("labels").alias("_labels"), *[F.col(c).alias(f"_{c}") for c in extra])
-    e = e.withColumn("_elow", F.lower("_ename")).withColumn("_enorm", F.lower(text.person_name(F.col("_ename"))))
-    agree = _labels_agree(F.col("labels"), F.col("_labels"))
-    parts = []
+    a, b = _named(asked, "a_", F.col("qid").alias("_id")), _named(entities, "b_", F.col("id").alias("_id"))
+    parts = [a.join(b, F.col("a_low") == F.col("b_low")), a.join(b, F.col("a_norm") == F.col("b_norm")), _partial(a, b), _fuzzy(a, b, "low")]
+    far = F.levenshtein(F.col("a_low"), F.col("b_low")) / F.greatest(F.length("a_low"), F.length("b_low"), F.lit(1))
+    met = reduce(DataFrame.unionByName, [p.where(_labels_agree(F.col("a_labels"), F.col("b_labels"))).select("a_name", "a_labels", F.lit(k + 1).alias("level"), "b_n", "b_id", far.alias("far")) for k, p in enumerate(parts)])
+    best = met.groupBy("a_name", "a_labels", "level").agg(F.sum("b_n").alias("n"), F.min("b_id").alias("id"), F.min(F.struct("far", "b_id")).alias("b"))
+    labels = F.coalesce("labels", F.array().cast(_NO_LABELS))
+    out = asked.select("qid", F.col("name").alias("a_name"), labels.alias("a_labels")).join(best, ["a_name", "a_labels"])
+    out = out.select("qid", "level", "n", "id", F.col("n").alias("considered"), (1 - F.col("b.far")).alias("score"), F.col("b.b_id").alias("best"))
     if "id" in asked.columns:
-        parts.append(q.join(e, q["id"] == e["_id"]).select("qid", F.lit(0).alias("level"), "_id"))
-    parts.append(q.join(e, F.col("_name") == F.col("_elow")).where(agree).select("qid", F.lit(1).alias("level"), "_id"))
-    parts.append(q.join(e, F.col("_norm") == F.col("_enorm")).where(agree).select("qid", F.lit(2).alias("level"), "_id"))
-    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: F.length(w) >= 4))
-    qw, ew = q.withColumn("_w", F.explode(words(F.col("_norm")))), e.withColumn("_w", F.explode(words(F.col("_enorm"))))
-    parts.append(qw.join(ew, "_w").where(agree & text.is_partial_name(F.col("name"), F.col("_ename"))).select("qid", F.lit(3).alias("level"), "_id").distinct())
-    near = F.abs(F.length("_name") - F.length("_elow")) <= F.floor(F.least(F.length("_name"), F.length("_elow")) * 0.2)
-    keys = [q[c] == e[f"_{c}"] for c in extra]
-    fuzzy = q.join(e, keys[0], "inner") if keys else q.crossJoin(e)
-    parts.append(fuzzy.where(agree & near & text.is_fuzzy_name(F.col("name"), F.col("_ename"))).select("qid", F.lit(4).alias("level"), "_id"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.withColumnRenamed("_id", "id")
-
-
-def escalate(asked: DataFrame, found: DataFrame, may_create: Column | None = None) -> DataFrame:
-    """(qid, level, id): the first level with exactly one candidate decides; else ``new``, or ``vetoed`` where creation isn't permitted."""
+        own = asked.select("qid", "id").join(entities.select("id").distinct(), "id")
+        out = own.select("qid", F.lit(0).alias("level"), F.lit(1).cast("bigint").alias("n"), "id", F.lit(1).cast("bigint").alias("considered"), F.lit(1.0).alias("score"), F.col("id").alias("best")).unionByName(out)
+    return out
+
+
+def _nearest(k: int, least: float, sure: float) -> Callable:
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        a, b = g[g["side"] == 0], g[g["side"] == 1]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"qid": [], "id": [], "score": []})
+        unit = lambda rows: (m := np.stack(rows["embedding"].to_numpy()).astype(np.float64)) / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+        s = unit(a) @ unit(b).T
+        agree = np.array([[not len(x) or not len(y) or not set(x).isdisjoint(y) for y in b["labels"]] for x in a["labels"]])
+        i, j = np.nonzero((s >= least) & agree)
+        return pd.DataFrame({"qid": a["qid"].to_numpy()[i], "id": b["qid"].to_numpy()[j], "score": s[i, j]})
+
+    return run
+
+
+def vector_candidates(asked: DataFrame, entities: DataFrame, least: float = CANDIDATE, sure: float = ACCEPT, k: int = NEAREST) -> DataFrame:
+    """The same columns as ``candidates`` for the vector level, of ``asked`` (qid, embedding, labels) and entities (id, embedding, labels).
+
+    The ``k`` most similar with a cosine of at least ``least`` are considered; those of at least ``sure``
+    count as sure. Blocks of both sides are multiplied as matrices, a pair of blocks a task. Rows of a
+    null vector are left out.
+    """
+    ready(asked.sparkSession)
+    labels = F.coalesce("labels", F.array().cast(_NO_LABELS))
+    side = lambda df, key: df.where("embedding IS NOT NULL").select(F.col(key).cast("string").alias("qid"), "embedding", labels.alias("labels"))
+    a, b = side(asked, "qid"), side(entities, "id")
+    blocks = lambda df: max(1, -(-df.count() // BLOCK))
+    na, nb = blocks(a), blocks(b)
+    spread = lambda df, own, other, side: df.select("*", F.pmod(F.xxhash64("qid"), F.lit(own)).cast("int").alias(f"_{side}"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(f"_{1 - side}"), F.lit(side).alias("side"))
+    tiles = spread(a, na, nb, 0).unionByName(spread(b, nb, na, 1))
+    near = tiles.groupBy("_0", "_1").applyInPandas(_nearest(k, least, sure), "qid string, id string, score double")
+    ranked = near.withColumn("_nth", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("_nth") <= k)
+    is_sure = F.col("score") >= sure
+    return ranked.groupBy("qid").agg(F.lit(5).alias("level"), F.count_if(is_sure).alias("n"), F.min(F.when(is_sure, F.col("id"))).alias("id"), F.count("*").alias("considered"), F.max("score").alias("score"), F.min(F.struct("_nth", "id"))["id"].alias("best"))
+
+
+def best_of(found: DataFrame) -> DataFrame:
+    """(qid, id): stands in for a language model that compares the candidates; the highest score, ties the smallest id."""
+    return found.groupBy("qid").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("best").alias("id"))).alias("b")).select("qid", "b.id")
+
+
+def escalate(asked: DataFrame, found: DataFrame, may_create: Column | None = None, bakeoff: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(qid, level, id, confidence): the first level that is sure of exactly one candidate decides.
+
+    Where none is and there are candidates, the ``bakeoff`` (if given) may pick one: ``verification`` of a
+    single candidate, ``bakeoff`` of several. All else is ``new``, or ``vetoed`` where creation isn't permitted.
+    """
     names = F.array(*[F.lit(x) for x in LEVELS])
-    single = found.groupBy("qid", "level").agg(F.count_distinct("id").alias("n"), F.min("id").alias("id")).where("n = 1")
-    best = single.groupBy("qid").agg(F.min(F.struct("level", "id")).alias("b")).select("qid", F.element_at(names, F.col("b.level") + 1).alias("_level"), F.col("b.id").alias("id"))
+    found = checkpoint(found)
+    best = found.where("n = 1").groupBy("qid").agg(F.min(F.struct("level", "id")).alias("b")).select("qid", F.element_at(names, F.col("b.level") + 1).alias("_level"), "b.id", F.lit(SURE).alias("_confidence"))
+    if bakeoff is not None:
+        open_ = found.join(best.select("qid"), "qid", "left_anti")
+        most = open_.groupBy("qid").agg(F.when(F.max("considered") == 1, "verification").otherwise("bakeoff").alias("_level"))
+        picked = bakeoff(open_).where("id IS NOT NULL").join(most, "qid").select("qid", "_level", "id", F.lit(PICKED).alias("_confidence"))
+        best = best.unionByName(picked)
     fresh = F.lit("new") if may_create is None else F.when(may_create, "new").otherwise("vetoed")
-    return asked.drop("id", "level").join(best, "qid", "left").select("qid", F.coalesce("_level", fresh).alias("level"), "id")
+    return asked.drop("id", "level").join(best, "qid", "left").select("qid", F.coalesce("_level", fresh).alias("level"), "id", F.coalesce("_confidence", F.lit(0.0)).alias("confidence"))
 
 
 def known_entities(asked: DataFrame, known: DataFrame) -> DataFrame:
@@ -74,15 +157,34 @@ def chain(parts: list[DataFrame]) -> DataFrame:
 
 
 def batch_entities(asked: DataFrame) -> DataFrame:
-    """(qid, entity) within a batch: names of one normalised form under one label are one entity, named by its smallest qid.
+    """(qid, entity) within a batch, resolved one after the other by qid: a name is the first earlier entity that it matches, else a new one.
 
-    Matching is transitive here, where a one-by-one resolver would take the first match in order.
+    Names match when they share a label (in any case) and are equal, of one normalised form, one a single
+    word of the other, or within a fifth of the shorter one. Only new entities are matched against, so
+    matching isn't transitive: the entities are the greedy independent set of the graph of matches, found in
+    rounds. Rows of one name and labels are one node; a name or label list that is missing matches nothing.
     """
-    keyed = asked.withColumn("_norm", F.lower(text.person_name(F.col("name")))).withColumn("_label", F.try_element_at("labels", F.lit(1)))
-    first = Window.partitionBy("_norm", "_label")
-    edges = keyed.select("qid", F.min("qid").over(first).alias("low"))
-    roots = components(edges.select(F.col("qid").alias("a"), F.col("low").alias("b")))
-    return edges.join(roots, edges["qid"] == roots["node"], "left").select("qid", F.coalesce("root", "qid").alias("entity"))
+    labels = F.transform(F.coalesce("labels", F.array().cast(_NO_LABELS)), F.lower)
+    rows = asked.select(F.col("qid").alias("_id"), "name", F.array_sort(F.array_distinct(labels)).alias("labels"))
+    full = rows.where("name IS NOT NULL AND size(labels) > 0")
+    kinds = _named(full, "a_", F.col("_id"))
+    a = kinds.drop("a_n")
+    b = a.select(*[F.col(c).alias("b" + c[1:]) for c in a.columns])
+    # An equal lower-case name is an equal normalised one, but for middle initials.
+    parts = [a.join(b, F.col("a_low") == F.col("b_low")), a.join(b, F.col("a_norm") == F.col("b_norm")), _partial(a, b), _fuzzy(a, b, "norm")]
+    met = reduce(DataFrame.unionByName, [p.where((F.col("a_id") != F.col("b_id")) & F.arrays_overlap("a_labels", "b_labels")).select(F.least("a_id", "b_id").alias("u"), F.greatest("a_id", "b_id").alias("v")) for p in parts])
+    edges = open_ = checkpoint(met.distinct())
+    matched = edges.select("v").limit(0)
+    while not open_.isEmpty():
+        firsts = open_.select("u").distinct().join(open_.select(F.col("v").alias("u")).distinct(), "u", "left_anti")
+        gone = checkpoint(open_.join(firsts, "u", "left_semi").select("v").distinct())
+        matched = matched.unionByName(gone)
+        left = open_.join(firsts, "u", "left_anti").join(gone, "v", "left_anti").join(gone.select(F.col("v").alias("u")), "u", "left_anti")
+        open_ = checkpoint(left.select("u", "v"))
+    root = edges.join(matched, "v", "left_semi").join(matched.select(F.col("v").alias("u")), "u", "left_anti").groupBy("v").agg(F.min("u").alias("root"))
+    named = a.join(root, a["a_id"] == root["v"], "left").select("a_name", "a_labels", F.coalesce("root", "a_id").alias("entity"))
+    known = rows.join(named, (rows["name"] == named["a_name"]) & (rows["labels"] == named["a_labels"]), "left")
+    return known.select(F.col("_id").alias("qid"), F.coalesce("entity", "_id").alias("entity"))
 
 
 def merge_entities(old: DataFrame, new: DataFrame) -> DataFrame:

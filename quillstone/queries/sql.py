@@ -23,6 +23,13 @@ def util(k: float = 2.0) -> str:
     return f"({effective(k)}) * (1 + 0.5::DOUBLE * importance) * (1 + 0.1::DOUBLE * ln(1 + reinforce_count))"
 
 
+_WORD = "translate(upper(left(md5(CAST({0} AS VARCHAR)), 1)), '0123456789', 'GHIJKLMNOP') || translate(substr(md5(CAST({0} AS VARCHAR)), 2, 9), '0123456789', 'ghijklmnop')"
+
+
+def name_word(k: str) -> str:
+    return _WORD.format(k)
+
+
 VIEWS = {
     "props0": """SELECT event_id, 'ev-' || event_id AS id, 'ctx-' || (user_id % 10) AS context_id, 'user ' || user_id || ' ' || event_type AS text, user_id, event_type,
   least(1.0::DOUBLE, value / 500) AS confidence, (event_id % 5) * 0.05::DOUBLE AS decay, (event_id % 11) / 10.0::DOUBLE AS importance,
@@ -44,7 +51,7 @@ VIEWS = {
     "vectors": "SELECT 'vec-' || vec_id AS id, 'lab-' || label AS context_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings",
     "facts": """SELECT 'works_at' AS predicate, 'c' || c_custkey AS arg0, 'co' || (c_custkey // 10) AS arg1 FROM customer
   UNION ALL SELECT 'member_of', 'c' || c_custkey, 'team' || (c_custkey // 7) FROM customer
-  UNION ALL SELECT 'lives_in', 'c' || c_custkey, 'n' || c_nationkey FROM customer WHERE c_custkey % 20 = 0
+  UNION ALL SELECT 'lives_in', 'c' || c_custkey, 'n' || c_nationkey || '-' || (c_custkey // 25) FROM customer
   UNION ALL SELECT 'friend_of', 'c' || c_custkey, 'c' || (c_custkey // 2) FROM customer WHERE c_custkey > 0
   UNION ALL SELECT 'colleague_of', 'c' || c_custkey, 'c' || (c_custkey + 1) FROM customer WHERE c_custkey % 4 = 0
   UNION ALL SELECT 'expert_in', 'c' || c_custkey, lower(c_mktsegment) FROM customer WHERE c_custkey % 5 = 0
@@ -54,7 +61,7 @@ VIEWS = {
   UNION ALL SELECT 'owns', 'c' || o_custkey, 'o' || o_orderkey FROM orders
   UNION ALL SELECT 'type_of', 'o' || o_orderkey, lower(o_orderpriority) FROM orders""",
     "artifacts": "SELECT doc_id AS source_id, ['uri', 'file', 'content', 'connector'][doc_id % 4 + 1] AS locator_kind, ['uri', 'file', 'content', 'connector'][doc_id % 4 + 1] || ':' || source AS locator_key, text, sha256(text) AS content_hash FROM documents",
-    "entities": "SELECT 'c' || c_custkey AS id, 'Dr. Cust' || (c_custkey - CASE WHEN c_custkey % 9 = 8 THEN 1 ELSE 0 END) || ' Smith' AS name, ['Customer', upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2))] AS labels, c_nationkey AS nation FROM customer",
+    "entities": f"SELECT 'c' || c_custkey AS id, 'Dr. ' || {name_word('c_custkey - CASE WHEN c_custkey % 9 = 8 THEN 1 ELSE 0 END')} || ' Smith' AS name, ['Customer', upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2))] AS labels, c_nationkey AS nation FROM customer",
     "edges": "SELECT DISTINCT a.resolved_id AS a, b.resolved_id AS b, a.proposition_id AS p FROM mentions a JOIN mentions b ON a.proposition_id = b.proposition_id AND a.resolved_id <> b.resolved_id WHERE a.status = 'ACTIVE'",
 }
 NEEDS = {"props": ("props0",), "mentions": ("props0",), "tiers": ("props0", "provenance"), "edges": ("mentions",)}
