@@ -60,6 +60,13 @@ reach AS (SELECT a, b FROM n UNION SELECT reach.a, n.b FROM reach JOIN n ON reac
 SELECT a AS doc_id, least(a, min(b)) AS group_id FROM reach GROUP BY a"""
 
 
+def links(docs: str) -> str:
+    """doc_id, class_id, n_links of documents with a similar one."""
+    return f"""
+WITH p AS (SELECT * FROM ({pairs(docs)})), l AS (SELECT doc_id, count(*) AS n_links FROM (SELECT doc_id_a AS doc_id FROM p UNION ALL SELECT doc_id_b FROM p) GROUP BY doc_id)
+SELECT doc_id, group_id AS class_id, n_links FROM l JOIN ({groups(docs)}) USING (doc_id)"""
+
+
 def passages(docs: str, benchmark: str = "benchmark") -> str:
     """doc_id, item_id, start, stop, words."""
     return f"""

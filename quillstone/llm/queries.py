@@ -47,9 +47,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op5_ngram_jaccard_join", oracle.pairs("documents"))
+@query("op5_ngram_jaccard_join", oracle.links("documents"))
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.similar_pairs(table(spark, sf_dir, "documents"))
+    return ngram_join.linked_documents(table(spark, sf_dir, "documents"))
 
 
 @query("op6_html_extraction")

@@ -95,10 +95,56 @@ def brute_pairs(rows, threshold=0.65):
     return [(*k, v) for k, v in found.items()]
 
 
+def expanded(sets):
+    """The pairs of documents that pairs of sets and their membership stand for."""
+    pairs, members = ([tuple(r) for r in x.collect()] for x in sets)
+    own = defaultdict(set)
+    for node, doc in members:
+        own[node].add(doc)
+    found = {}
+    for a, b, jaccard in [*pairs, *((node, node, 1.0) for node in own)]:
+        for i, j in itertools.product(own[a], own[b]):
+            if i != j:
+                found[min(i, j), max(i, j)] = max(found.get((min(i, j), max(i, j)), 0), jaccard)
+    return [(*k, v) for k, v in found.items()]
+
+
+def brute_links(rows, threshold=0.65):
+    """(doc_id, class_id, n_links) for rows of distinct ids."""
+    n, root = Counter(), {}
+    for a, b, _ in brute_pairs(rows, threshold):
+        n.update((a, b))
+        ends = {root.setdefault(a, a), root.setdefault(b, b)}
+        root.update({k: min(ends) for k, v in root.items() if v in ends})
+    return [(k, root[k], n[k]) for k in n]
+
+
 def test_pairs(docs, wide, none, rows):
-    same(ngram_join.similar_pairs(docs).collect(), brute_pairs(rows))
-    same(ngram_join.similar_pairs(wide).collect(), brute_pairs(rows))
-    assert ngram_join.similar_pairs(none).collect() == []
+    same(expanded(ngram_join.similar_sets(docs)), brute_pairs(rows))
+    same(expanded(ngram_join.similar_sets(wide)), brute_pairs(rows))
+    assert [x.collect() for x in ngram_join.similar_sets(none)] == [[], []]
+
+
+def test_links(spark, docs, wide, none, rows):
+    once = list({r[0]: r for r in rows if r[0] is not None}.values())
+    same(ngram_join.linked_documents(spark.createDataFrame(once, DOCS)).collect(), brute_links(once))
+    same(ngram_join.linked_documents(docs).collect(), brute_links(once))
+    same(ngram_join.linked_documents(wide).collect(), brute_links(once))
+    assert ngram_join.linked_documents(none).collect() == []
+    twice = [(1, prose(9, 60), "en", "a", 0), (1, prose(9, 60) + " tail", "en", "a", 0), (2, "alone here", "en", "a", 0)]
+    same(ngram_join.linked_documents(spark.createDataFrame(twice, DOCS)).collect(), [(1, 1, 2)])
+
+
+def test_links_of_groups_larger_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    base = prose(4, 120).split()
+    rows = []
+    for k in range(40):
+        own = list(base)
+        own[(k * 3) % 118] = f"x{k // 2}"
+        rows.append((k, " ".join(own), "en", "a", 0))
+    rows += [(100 + k, prose(50 + k, 40), "en", "a", 0) for k in range(10)]
+    same(ngram_join.linked_documents(spark.createDataFrame(rows, DOCS)).collect(), brute_links(rows))
 
 
 def test_pairs_recall(spark):
@@ -112,7 +158,7 @@ def test_pairs_recall(spark):
                 copy[at] = f"w{rng.integers(0, 3000)}"
             rows.append((len(rows), " ".join(copy), "en", "a", 0))
     want = brute_pairs(rows)
-    found = [tuple(r) for r in ngram_join.similar_pairs(spark.createDataFrame(rows, DOCS)).collect()]
+    found = expanded(ngram_join.similar_sets(spark.createDataFrame(rows, DOCS)))
     assert set(found) <= set(want)
     assert len(found) >= 0.98 * len(want) > 100
 
