@@ -48,3 +48,8 @@ def any_of(*reasons: Column) -> Column:
 
 def whole_text(span: Column, text: Column, least: int = 50) -> Column:
     return F.when((F.length(text) >= least) & (F.lower(F.trim(span)) == F.lower(F.trim(text))), F.lit("whole text"))
+
+
+def composite(*reasons: Column) -> Column:
+    """Whether every filter lets the mention pass; without filters all do."""
+    return reduce(lambda a, b: a & b, [r.isNull() for r in reasons], F.lit(True))

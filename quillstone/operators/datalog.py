@@ -2,7 +2,7 @@
 
 Horn clauses are read from text and evaluated bottom up as joins. Relations are sets. A predicate may
 call itself once in a clause (linear recursion): each round joins only what the round before found,
-and ends when nothing is new or the bound is reached, so cycles end, too.
+and ends when nothing is new, so cycles end, too.
 """
 
 from __future__ import annotations
@@ -42,6 +42,10 @@ work_connection(P, Q) :- coworker(P, Q).
 """
 
 
+#: After so many rounds of a recursive predicate, what they found is written as one table.
+MERGED = 8
+
+
 @dataclass(frozen=True)
 class Rule:
     head: Atom
@@ -98,8 +102,8 @@ def parse(text: str) -> list[Rule]:
 
 
 class Program:
-    def __init__(self, facts: DataFrame, rules: str = RULES, most_rounds: int = 64) -> None:
-        self.facts, self.rules, self.most = facts, parse(rules), most_rounds
+    def __init__(self, facts: DataFrame, rules: str = RULES) -> None:
+        self.facts, self.rules = facts, parse(rules)
         self.known: dict[str, DataFrame] = {}
 
     def relation(self, name: str) -> DataFrame:
@@ -115,12 +119,13 @@ class Program:
             out = reduce(DataFrame.unionByName, [*base, *(self._derive(r, {}) for r in simple)]).distinct()
             if again:
                 out = delta = checkpoint(out)
-                for _ in range(self.most):
+                rounds = 0
+                while not delta.isEmpty():
                     step = reduce(DataFrame.unionByName, [self._derive(r, {name: delta}) for r in again]).distinct()
                     delta = checkpoint(step.join(out, step.columns, "left_anti"))
-                    if delta.isEmpty():
-                        break
-                    out = out.unionByName(delta)
+                    out, rounds = out.unionByName(delta), rounds + 1
+                    if rounds % MERGED == 0:
+                        out = checkpoint(out)
             self.known[name] = out
         return self.known[name]
 
@@ -168,3 +173,45 @@ class Program:
             return None
         row = rows.orderBy(*rows.columns).first()
         return row.asDict() if row else None
+
+
+_QUOTED = re.compile(r"'([^']+)'")
+
+
+def with_ids(goal: str, names: DataFrame) -> str:
+    """The goal with its quoted names replaced by ids of ``names`` (name, id), in any case; of several the smallest."""
+    asked = {n.lower() for n in _QUOTED.findall(goal)}
+    if not asked:
+        return goal
+    known = names.where(F.lower("name").isin(*asked)).groupBy(F.lower("name").alias("name")).agg(F.min("id").alias("id"))
+    ids = dict(map(tuple, known.collect()))  # a row for each name asked for, at most
+    return _QUOTED.sub(lambda m: f"'{ids.get(m[1].lower(), m[1])}'", goal)
+
+
+def general(goal: str) -> str:
+    """The goal with each quoted constant that doesn't look like an id (over 30 letters, with an underscore) as a variable of its own."""
+    fresh = iter(range(1 << 30))
+    return _QUOTED.sub(lambda m: m[0] if "_" in m[1] and len(m[0]) > 30 or not m[1][0].islower() else f"X{next(fresh)}", goal)
+
+
+def ask_by_name(program: Program, goal: str, names: DataFrame) -> tuple[DataFrame, bool]:
+    """The bindings of a goal with names instead of ids, and whether only the general form of it had any."""
+    exact = with_ids(goal, names)
+    rows = program.ask(exact)
+    if program.holds(exact) or (wider := general(exact)) == exact:
+        return rows, False
+    return program.ask(wider), True
+
+
+def predicates(facts: DataFrame) -> DataFrame:
+    """(predicate, n) of the facts there are."""
+    return facts.groupBy("predicate").agg(F.count("*").alias("n"))
+
+
+def sample_facts(facts: DataFrame, names: DataFrame, most: int = 10) -> DataFrame:
+    """(line) of the first facts in order, ids as names where they have one."""
+    first = facts.orderBy("predicate", "arg0", "arg1").limit(most)
+    one = names.groupBy("id").agg(F.min("name").alias("name"))
+    side = lambda k: one.select(F.col("id").alias(f"_i{k}"), F.col("name").alias(f"_n{k}"))
+    named = first.join(side(0), F.col("arg0") == F.col("_i0"), "left").join(side(1), F.col("arg1") == F.col("_i1"), "left")
+    return named.select(F.concat("predicate", F.lit("("), F.coalesce("_n0", "arg0"), F.lit(", "), F.coalesce("_n1", "arg1"), F.lit(")")).alias("line"))

@@ -48,6 +48,8 @@ def path_between(edges: DataFrame, start: str, end: str, max_depth: int = MAX_DE
     spark = edges.sparkSession
     if start == end:
         return spark.createDataFrame([([start], [])], "nodes array<string>, via array<string>")
+    # Of the propositions that join two entities only the smallest can be in the answer.
+    edges = checkpoint(edges.groupBy("a", "b").agg(F.min("p").alias("p")))
     frontier = spark.createDataFrame([(start, [], [start])], "a string, via array<string>, nodes array<string>")
     seen = frontier.select(F.col("a").alias("b"))
     for _ in range(max_depth):
@@ -65,7 +67,10 @@ def path_between(edges: DataFrame, start: str, end: str, max_depth: int = MAX_DE
 
 
 def two_hop_links(edges: DataFrame) -> DataFrame:
-    """(source, target, connectors, evidence): pairs with shared neighbours and no edge of their own."""
+    """(source, target, connectors, evidence): pairs with shared neighbours and no edge of their own.
+
+    The join on the shared neighbour has a hub's neighbours on both sides; adaptive execution splits both.
+    """
     direct = edges.groupBy("a", "b").agg(F.collect_set("p").alias("ps"))
     left = direct.select(F.col("a").alias("source"), F.col("b").alias("x"), F.col("ps").alias("p1"))
     right = direct.select(F.col("a").alias("target"), F.col("b").alias("x"), F.col("ps").alias("p2"))
@@ -82,6 +87,28 @@ def lineage(props: DataFrame, pid: str, context_id: str | None = None) -> DataFr
     return own.select("id", F.lit(0).alias("place"), F.col("text").alias("source")).unionByName(parents)
 
 
+def paths_in_context(paths: DataFrame, props: DataFrame, context_id: str) -> DataFrame:
+    """The paths (path_id, via, ...) of which every proposition is in the context; a path without any is."""
+    inside = props.where(F.col("context_id") == context_id).select("id").distinct().withColumn("_in", F.lit(True))
+    steps = paths.select("path_id", F.explode(F.array_distinct("via")).alias("id")).join(inside, "id", "left")
+    outside = steps.where("_in IS NULL").select("path_id").distinct()
+    return paths.join(outside, "path_id", "left_anti")
+
+
+def path_rows(path: DataFrame) -> DataFrame:
+    """(hop, source, target, proposition_id) of a path (nodes, via), a row for each hop."""
+    steps = path.select("nodes", F.posexplode("via").alias("_i", "proposition_id"))
+    return steps.select((F.col("_i") + 1).alias("hop"), F.element_at("nodes", F.col("_i") + 1).alias("source"), F.element_at("nodes", F.col("_i") + 2).alias("target"), "proposition_id")
+
+
+def explained(props: DataFrame, provenance: DataFrame, pid: str) -> DataFrame:
+    """One row about a proposition: its text and validity, its sources in order, its grounding, and the texts it was abstracted from."""
+    own = props.where(F.col("id") == pid)
+    parents = own.select(F.posexplode("source_ids").alias("place", "id")).join(props.select("id", "text"), "id").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("p"))
+    sources = provenance.where(F.col("proposition_id") == pid).agg(F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("s"))
+    return own.crossJoin(F.broadcast(parents)).crossJoin(F.broadcast(sources)).select("id", "text", "status", "temporal", "s.key", "grounding", F.col("p.text").alias("abstracts"))  # one row each
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges (a, b); the root is the smallest node it is connected with.
 

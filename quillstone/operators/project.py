@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import fact_predicate, relationship_type
-from ..schema import EDGE_GROUNDED_IN, EDGE_HAS_ENTITY, EDGE_HAS_PROPOSITION, EDGE_MENTIONS
+from ..schema import EDGE_GROUNDED_IN, EDGE_HAS_ENTITY, EDGE_HAS_PROPOSITION, EDGE_MENTIONS, TIERS
 
 STRICT, LENIENT = 0.85, 0.7
 
@@ -70,10 +72,51 @@ def merged_edges(projected: DataFrame) -> DataFrame:
     return projected.where("outcome = 'PROJECTED'").groupBy("source_id", "target_id", "type").agg(F.max("confidence").alias("confidence"), F.sort_array(F.collect_set("id")).alias("source_ids"))
 
 
+def edge_ref(source: Column, kind: Column, target: Column) -> Column:
+    return F.concat(source, F.lit("-["), kind, F.lit("]->"), target)
+
+
 def reconcile(projected: DataFrame, existing: DataFrame) -> DataFrame:
-    """``decision``: ADOPT an edge that exists, CREATE a new one, for each projected row."""
-    known = existing.select("source_id", "target_id", "type").distinct().withColumn("_known", F.lit(True))
-    return projected.where("outcome = 'PROJECTED'").join(known, ["source_id", "target_id", "type"], "left").withColumn("decision", F.when(F.col("_known"), "ADOPT").otherwise("CREATE")).drop("_known")
+    """``decision`` and ``target_ref`` of each projected row: ADOPT an edge that exists, ALIGN with one of another type between the same ends (the smallest reference), CREATE a new one."""
+    rows = projected.where("outcome = 'PROJECTED'")
+    known = existing.select("source_id", "target_id", "type").distinct()
+    same = known.withColumn("_same", edge_ref(F.col("source_id"), F.col("type"), F.col("target_id")))
+    ends = known.groupBy("source_id", "target_id").agg(F.min(edge_ref(F.col("source_id"), F.col("type"), F.col("target_id"))).alias("_near"))
+    out = rows.join(same, ["source_id", "target_id", "type"], "left").join(ends, ["source_id", "target_id"], "left")
+    decision = F.when(F.col("_same").isNotNull(), "ADOPT").when(F.col("_near").isNotNull(), "ALIGN").otherwise("CREATE")
+    return out.withColumn("decision", decision).withColumn("target_ref", F.coalesce("_same", "_near", edge_ref(F.col("source_id"), F.col("type"), F.col("target_id")))).drop("_same", "_near")
+
+
+def lineage_records(projected: DataFrame, existing: DataFrame, run_id: str, target: str = "graph", failed: DataFrame | None = None) -> DataFrame:
+    """(proposition_id, target, lifecycle, run_id, target_ref, reason, context_id): a record of every result, reconciled against the edges before the run.
+
+    ``failed`` (target_ref, reason) are edges that the store could not write.
+    """
+    done = reconcile(projected, existing)
+    lost = failed.select("target_ref", F.col("reason").alias("_lost")) if failed is not None else done.select("target_ref", F.lit("").alias("_lost")).limit(0)
+    done = done.withColumn("_own", edge_ref(F.col("source_id"), F.col("type"), F.col("target_id"))).join(lost.withColumnRenamed("target_ref", "_own"), "_own", "left")
+    gone = F.col("_lost").isNotNull()
+    lifecycle = F.when(gone, "FAILED").when(F.col("decision") == "CREATE", "PROJECTED").otherwise("ADOPTED")
+    reason = F.when(gone, F.concat(F.lit("not persisted: "), "_lost")).when(F.col("decision") == "ADOPT", "adopted").when(F.col("decision") == "ALIGN", "aligned")
+    record = lambda rows, state, ref, why: rows.select(F.col("id").alias("proposition_id"), F.lit(target).alias("target"), state.alias("lifecycle"), F.lit(run_id).alias("run_id"), ref.alias("target_ref"), why.alias("reason"), "context_id")
+    rest = projected.where("outcome <> 'PROJECTED'")
+    return record(done, lifecycle, F.when(~gone, F.col("target_ref")), reason).unionByName(record(rest, F.col("outcome"), F.lit(None).cast("string"), F.col("reason")))
+
+
+def join_statements(texts: Column) -> Column:
+    """Stands in for a language model's description of a relationship."""
+    return F.array_join(texts, "; ")
+
+
+def described_edges(edges: DataFrame, props: DataFrame, describe: Callable[[Column], Column] = join_statements) -> DataFrame:
+    """(source_id, target_id, type, description, confidence, authority) of edges with ``source_ids``: a description of their propositions' different texts.
+
+    The confidence is the propositions' mean, the authority their strongest. A blank description leaves the edge out.
+    """
+    named = edges.select("source_id", "target_id", "type", F.explode("source_ids").alias("id")).join(props.select("id", "text", F.col("confidence").alias("_c"), F.col("authority").alias("_a")), "id")
+    tier = F.array_position(F.array(*[F.lit(t) for t in TIERS]), F.coalesce("_a", F.lit(TIERS[-1])))
+    own = named.groupBy("source_id", "target_id", "type").agg(describe(F.sort_array(F.collect_set("text"))).alias("description"), F.avg("_c").alias("confidence"), F.min(tier).alias("_tier"))
+    return own.where(F.trim("description") != "").withColumn("authority", F.element_at(F.array(*[F.lit(t) for t in TIERS]), F.col("_tier").cast("int"))).drop("_tier")
 
 
 def knowledge_type() -> Column:

@@ -208,3 +208,60 @@ def agreed(found: DataFrame, least: int = 2) -> DataFrame:
     keyed = found.withColumn("key", text.comparison_name(F.col("name")))
     fit = F.size("labels") * 10 + F.length("summary")
     return keyed.groupBy("key").agg(F.count_distinct("analyzer").alias("n"), F.min(F.struct((-fit).alias("s"), "name", "summary")).alias("b")).where(F.col("n") >= least).select("key", "n", "b.name", "b.summary")
+
+
+def always_new(asked: DataFrame) -> DataFrame:
+    """(qid, id, kind): every name is a new entity, with an id of its own."""
+    return asked.select("qid", F.sha2("qid", 256).alias("id"), F.lit("NEW").alias("kind"))
+
+
+def suggested(mentions: DataFrame) -> DataFrame:
+    """(span, type, proposition_id, pos, resolved_id, n): one suggestion for each span and type, in any case and spacing.
+
+    It is the first mention (by proposition and place) of those with an id, or of all if none has one.
+    """
+    first = F.min(F.struct(F.col("resolved_id").isNull().alias("bare"), "proposition_id", "pos", "resolved_id"))
+    own = mentions.where(F.trim("span") != "").groupBy(F.lower(F.trim("span")).alias("span"), F.lower(F.trim("type")).alias("type"))
+    return own.agg(first.alias("b"), F.count("*").alias("n")).select("span", "type", "b.proposition_id", "b.pos", "b.resolved_id", "n")
+
+
+def mention_resolutions(mentions: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """The mentions with the ``entity`` of the resolution (span, type, entity) of the same span and type, in any case and spacing; of several the smallest."""
+    key = lambda c: F.lower(F.trim(c))
+    known = resolutions.groupBy(key("span").alias("_s"), key("type").alias("_t")).agg(F.min("entity").alias("entity"))
+    return mentions.join(known, (key("span") == F.col("_s")) & (key("type") == F.col("_t")), "left").drop("_s", "_t")
+
+
+def assert_relationships(asserted: DataFrame, names: DataFrame, permitted: DataFrame | None = None) -> DataFrame:
+    """(k, outcome, edge) of asserted (k, from, type, to): PERSISTED when both names resolve by ``names`` (name, id), UNRESOLVED else, VETOED when the type isn't among ``permitted`` (type)."""
+    one = names.groupBy(F.lower(F.trim("name")).alias("_name")).agg(F.min("id").alias("_id"))
+    side = lambda p: one.select(F.col("_name").alias(f"_{p}"), F.col("_id").alias(f"_{p}_id"))
+    rows = asserted.join(side("from"), F.lower(F.trim("from")) == F.col("_from"), "left").join(side("to"), F.lower(F.trim("to")) == F.col("_to"), "left")
+    may = F.lit(True)
+    if permitted is not None:
+        rows = rows.join(permitted.select(F.col("type").alias("_type")).distinct().withColumn("_may", F.lit(True)), F.col("type") == F.col("_type"), "left")
+        may = F.coalesce("_may", F.lit(False))
+    outcome = F.when(F.col("_from_id").isNull() | F.col("_to_id").isNull(), "UNRESOLVED").when(~may, "VETOED").otherwise("PERSISTED")
+    edge = F.concat("_from_id", F.lit("-["), text.relationship_type(F.col("type")), F.lit("]->"), "_to_id")
+    return rows.select("k", outcome.alias("outcome"), F.when(outcome == "PERSISTED", edge).alias("edge"))
+
+
+def delta(asked: DataFrame, resolved: DataFrame) -> DataFrame:
+    """(qid, id, kind): of each name, the entity it was resolved to by (qid, id): NEW, MERGED, or DUPLICATE when an earlier name (by qid) has that entity."""
+    rows = asked.select("qid").join(resolved.where("id IS NOT NULL").select("qid", "id"), "qid", "left")
+    first = rows.where("id IS NOT NULL").groupBy("id").agg(F.min("qid").alias("_first"))
+    rows = rows.join(first, "id", "left")
+    return rows.select("qid", "id", F.when(F.col("id").isNull(), "NEW").when(F.col("qid") == F.col("_first"), "MERGED").otherwise("DUPLICATE").alias("kind"))
+
+
+def valid_relationships(relationships: DataFrame, nodes: DataFrame, types: DataFrame) -> DataFrame:
+    """The relationships (source, target, ...) whose both ends are nodes (id, label) of a domain type (label)."""
+    known = nodes.join(types.select("label").distinct(), "label", "left_semi").select("id").distinct()
+    return relationships.join(known.withColumnRenamed("id", "source"), "source", "left_semi").join(known.withColumnRenamed("id", "target"), "target", "left_semi")
+
+
+def by_text_distance(entities: DataFrame, wanted: str, most: int = 3) -> DataFrame:
+    """(id, score) of entities whose name is within an edit distance of a text, in any case; the score is 0.7 of the share of equal letters."""
+    name, text_ = F.lower("name"), F.lit(wanted.lower())
+    far = F.levenshtein(name, text_)
+    return entities.where(far <= most).select("id", ((1 - far / F.greatest(F.length(name), F.length(text_))) * 0.7).alias("score"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import resolve
+from ..session import checkpoint, ready
+
 WINDOW, OVERLAP, TRIGGER = 20, 2, 4
+#: Windows of extraction: items in one, items shared with the one before, new items that set it off.
+EXTRACTION = {"window": 10, "overlap": 2, "trigger": 6}
 
 
 def formatted(turn_role: Column, text: Column) -> Column:
@@ -59,3 +65,52 @@ def extract(chunks: DataFrame, extractor: Callable[[Column], Column] = sentences
     """(source_id, place, statement, id): the statements of each chunk; a chunk without any gives none."""
     out = chunks.select("source_id", F.posexplode(extractor(F.col("text"))).alias("place", "statement"))
     return out.withColumn("id", F.sha2(F.concat_ws("#", F.col("source_id").cast("string"), F.col("place").cast("string"), "statement"), 256))
+
+
+def extract_each(chunks: DataFrame, extractor: Callable[[str], list[str]], mode: str = "parallel", width: int = 5) -> DataFrame:
+    """(source_id, place, statements, error): each chunk (source_id, place, text) by itself.
+
+    A chunk whose extraction fails has null statements and its error, and leaves the others alone. ``mode``
+    says how many are at work: ``serial`` one, ``batched`` at most ``width``, ``parallel`` as many as there
+    are partitions. ``place`` keeps the order whatever the mode. A null text is given to the extractor as it is.
+    """
+    if mode not in ("serial", "parallel", "batched") or width < 1:
+        raise ValueError(f"no such mode: {mode} of {width}")
+    rows = chunks.select("source_id", "place", "text")
+    if mode != "parallel":
+        rows = rows.coalesce(1 if mode == "serial" else width)
+    ready(rows.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found, errors = [], []
+            for t in f["text"]:
+                try:
+                    found.append(list(extractor(t)))
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001 - isolation of chunks is the contract
+                    found.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield f[["source_id", "place"]].assign(statements=found, error=errors)
+
+    kind = chunks.schema["source_id"].dataType.simpleString()
+    return rows.withColumn("place", F.col("place").cast("bigint")).mapInPandas(run, f"source_id {kind}, place bigint, statements array<string>, error string")
+
+
+def zipped(chunks: DataFrame, results: DataFrame) -> DataFrame:
+    """Chunks (source_id, place, ...) side by side with their results of the same source and place; one without a result has nulls."""
+    return chunks.join(results, ["source_id", "place"], "left")
+
+
+def chunk_entities(mentions: DataFrame, known: DataFrame) -> DataFrame:
+    """(chunk_id, place, id, kind, name, labels) of the entities that the mentions (chunk_id, place, span, type) of all chunks name.
+
+    A span and type is one name, wherever it occurs. It is a known entity (id, name, labels) of that
+    normalised name (REFERENCE if that has all its labels, else UPDATED), or else NEW: names of all chunks
+    are resolved as one batch, and the new entity's id comes from the first of them.
+    """
+    named = mentions.where(F.trim("span") != "").select("chunk_id", "place", F.trim("span").alias("name"), F.array("type").alias("labels"), F.sha2(F.concat_ws("|", F.lower(F.trim("span")), F.lower("type")), 256).alias("qid"))
+    asked = checkpoint(named.groupBy("qid").agg(F.min(F.struct("place", "name", "labels")).alias("b")).select("qid", "b.name", "b.labels"))
+    old = resolve.known_entities(asked, known).select("qid", F.col("id"), F.when(F.col("kind") == "EXISTING", "UPDATED").otherwise("REFERENCE").alias("kind"))
+    new = resolve.batch_entities(asked.join(old.select("qid"), "qid", "left_anti")).select("qid", F.concat(F.lit("new-"), "entity").alias("id"), F.lit("NEW").alias("kind"))
+    return named.join(old.unionByName(new), "qid").select("chunk_id", "place", "id", "kind", "name", "labels")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..fixtures import AS_OF, artifacts, exploded_mentions, propositions, vectors
 from ..functions.scoring import effective_confidence
-from ..operators import consolidate, lifecycle, project, resolve, store
+from ..operators import outcomes, consolidate, lifecycle, project, resolve, store
 from ..operators.graph import components
 from ..operators.vectors import similar_pairs
 from ..plans import reports
@@ -119,10 +119,11 @@ def a17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.agreed(found)
 
 
-@query("a18_agreed_edges", "SELECT 's' || l_suppkey || '-[SHIPS]->' || 'p' || (l_partkey % 100) AS ref, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_linenumber) >= 3")
+@query("a18_agreed_edges", "SELECT 's' || l_suppkey AS source_id, 'p' || (l_partkey % 100) AS target_id, 'SHIPS' AS type, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY ALL HAVING count(DISTINCT l_linenumber) >= 3")
 def a18(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ref = F.concat(F.lit("s"), F.col("l_suppkey").cast("string"), F.lit("-[SHIPS]->p"), (F.col("l_partkey") % 100).cast("string"))
-    return table(spark, sf_dir, "lineitem").groupBy(ref.alias("ref")).agg(F.count_distinct("l_linenumber").alias("n")).where("n >= 3")
+    text = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    found = table(spark, sf_dir, "lineitem").select(text("s", F.col("l_suppkey")).alias("source_id"), text("p", F.col("l_partkey") % 100).alias("target_id"), F.lit("SHIPS").alias("type"), F.col("l_linenumber").alias("analyzer"))
+    return outcomes.agreed_edges(found, 3)
 
 
 @query("a19_ingestion_counts", sql("SELECT count(*) FILTER (nth = 1) AS ingested, count(*) FILTER (nth > 1) AS deduplicated FROM (SELECT row_number() OVER (PARTITION BY content_hash ORDER BY source_id) AS nth FROM artifacts)", "artifacts"))

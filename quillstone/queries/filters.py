@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..fixtures import AS_OF, exploded_mentions, propositions
 from ..functions import scoring
 from ..operators.query import QuerySpec, query as run
+from ..session import table
 from .registry import query
 from .sql import AT, effective, sql, util
 
@@ -141,7 +142,7 @@ def u07(spark: SparkSession, sf_dir: str) -> DataFrame:
     return propositions(spark, sf_dir).select("id", F.size(F.array_union("grounding", more)).alias("n_grounding"))
 
 
-@query("j01_by_mention", sql("SELECT DISTINCT proposition_id AS id, resolved_id FROM mentions WHERE resolved_id IN (SELECT 'user-' || (range * 10) FROM range(15))", "mentions"))
+@query("j01_by_mention", sql("SELECT DISTINCT proposition_id AS id, resolved_id FROM mentions WHERE resolved_id IN (SELECT 'user-' || user_id FROM events)", "mentions"))
 def j01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = spark.range(15).select(F.concat(F.lit("user-"), (F.col("id") * 10).cast("string")).alias("resolved_id"))
-    return exploded_mentions(propositions(spark, sf_dir)).join(F.broadcast(wanted), "resolved_id", "left_semi").select(F.col("proposition_id").alias("id"), "resolved_id").distinct()
+    people = table(spark, sf_dir, "events").select(F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("resolved_id")).distinct()
+    return exploded_mentions(propositions(spark, sf_dir)).join(people, "resolved_id", "left_semi").select(F.col("proposition_id").alias("id"), "resolved_id").distinct()

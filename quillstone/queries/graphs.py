@@ -39,23 +39,19 @@ def g04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("entity", "distance", F.size("via").cast("bigint").alias("n_via"))
 
 
-def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.co_mentions(propositions(spark, sf_dir)).where(F.col("a").startswith("user-") & F.col("b").startswith("user-"))
-
-
 @query(
     "g02_path_between",
     sql(
         "SELECT array_to_string(nodes, ',') AS nodes, array_to_string(via, ',') AS via FROM walk WHERE node = 'user-24' ORDER BY via LIMIT 1",
         "edges",
         recursive=True,
-        people="SELECT a, b, min(p) AS p FROM edges WHERE a LIKE 'user-%' AND b LIKE 'user-%' GROUP BY a, b",
-        **_bfs("people", "user-3", 5),
-        walk="SELECT 'user-3' AS node, ['user-3'] AS nodes, []::VARCHAR[] AS via UNION ALL SELECT e.b, list_append(walk.nodes, e.b), list_append(walk.via, e.p) FROM walk JOIN people e ON e.a = walk.node JOIN dist x ON x.node = walk.node JOIN dist y ON y.node = e.b AND y.d = x.d + 1",
+        linked="SELECT a, b, min(p) AS p FROM edges GROUP BY a, b",
+        **_bfs("linked", "user-3", 5),
+        walk="SELECT 'user-3' AS node, ['user-3'] AS nodes, []::VARCHAR[] AS via UNION ALL SELECT e.b, list_append(walk.nodes, e.b), list_append(walk.via, e.p) FROM walk JOIN linked e ON e.a = walk.node JOIN dist x ON x.node = walk.node JOIN dist y ON y.node = e.b AND y.d = x.d + 1",
     ),
 )
 def g02(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = graph.path_between(_people(spark, sf_dir), "user-3", "user-24")
+    p = graph.path_between(graph.co_mentions(propositions(spark, sf_dir)), "user-3", "user-24")
     return p.select(F.array_join("nodes", ",").alias("nodes"), F.array_join("via", ",").alias("via"))
 
 
@@ -79,13 +75,13 @@ def j07(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "g06_two_hop_links",
     sql(
-        "SELECT source, target, string_agg(x, ',' ORDER BY x) AS connectors, CAST(sum(n) AS BIGINT) AS n_evidence FROM (SELECT l.a AS source, r.a AS target, l.b AS x, l.n + r.n AS n FROM pair l JOIN pair r ON l.b = r.b AND l.a < r.a ANTI JOIN pair d ON d.a = l.a AND d.b = r.a) GROUP BY ALL",
+        "SELECT source, target, string_agg(x, ',' ORDER BY x) AS connectors, len(list_distinct(flatten(list(ps)))) AS n_evidence FROM (SELECT l.a AS source, r.a AS target, l.b AS x, list_concat(l.ps, r.ps) AS ps FROM pair l JOIN pair r ON l.b = r.b AND l.a < r.a ANTI JOIN pair d ON d.a = l.a AND d.b = r.a) GROUP BY ALL",
         "edges",
-        pair="SELECT a, b, count(DISTINCT p) AS n FROM edges WHERE a LIKE 'user-%' AND b LIKE 'user-%' GROUP BY a, b",
+        pair="SELECT a, b, list(DISTINCT p) AS ps FROM edges GROUP BY a, b",
     ).replace("ANTI JOIN pair d ON d.a = l.a AND d.b = r.a", "WHERE NOT EXISTS (SELECT 1 FROM pair d WHERE d.a = l.a AND d.b = r.a)"),
 )
 def g06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = graph.two_hop_links(_people(spark, sf_dir))
+    links = graph.two_hop_links(graph.co_mentions(propositions(spark, sf_dir)))
     return links.select("source", "target", F.array_join("connectors", ",").alias("connectors"), F.size("evidence").cast("bigint").alias("n_evidence")).orderBy("source", "target", "connectors")
 
 
@@ -173,13 +169,6 @@ def x05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("source_id", "target_id", "type", F.round("confidence", 6).alias("confidence"), F.size("source_ids").cast("bigint").alias("n"))
 
 
-@query("x06_x07_j18_reconcile", sql("SELECT id, source_id, target_id, type, CASE WHEN user_id % 2 = 0 THEN 'ADOPT' ELSE 'CREATE' END AS decision FROM projected WHERE outcome = 'PROJECTED'", "props", "tiers", projected=_PROJECTED))
-def x06(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = project.project_edges(propositions(spark, sf_dir), relations(spark))
-    there = project.merged_edges(rows).where(F.substring_index("source_id", "-", -1).cast("int") % 2 == 0)
-    return project.reconcile(rows, there).select("id", "source_id", "target_id", "type", "decision")
-
-
 @query("x10_knowledge_types", sql("SELECT id, CASE WHEN decay > 0.5 THEN 'EPISODIC' WHEN confidence > 0.7 AND decay < 0.3 THEN 'SEMANTIC' ELSE 'WORKING' END AS kind, coalesce(CASE WHEN contains(text, 'purchase') THEN 'PROCEDURAL' WHEN contains(text, 'sign') THEN 'SEMANTIC' WHEN contains(text, 'click') THEN 'EPISODIC' WHEN contains(text, 'view') THEN 'WORKING' END, CASE WHEN decay > 0.5 THEN 'EPISODIC' WHEN confidence > 0.7 AND decay < 0.3 THEN 'SEMANTIC' ELSE 'WORKING' END) AS by_relation FROM props", "props"))
 def x10(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = project.with_relation(propositions(spark, sf_dir), relations(spark))

@@ -102,10 +102,3 @@ def s32(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = s.select(name(F.col("s_suppkey")).alias("id"), F.col("s_name").alias("name"))
     links = s.where("s_suppkey > 0").select(name(F.floor(F.col("s_suppkey") / 2)).alias("source"), F.lit("leads").alias("field"), name(F.col("s_suppkey")).alias("target"))
     return build(nodes, links).select("id", "level", F.size("children").alias("n_children"))
-
-
-@query("i14_event_counts", "SELECT event_type AS kind, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1")
-def i14(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..session import table
-
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"))

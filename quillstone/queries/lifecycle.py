@@ -55,20 +55,9 @@ def l10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revise.fast_path(p.where("event_id % 4 = 0"), p.where("event_id % 4 <> 0"))
 
 
-_SIM = "SELECT n.id, o.id AS match_id, ((n.event_id * 7 + o.event_id * 13) % 100) / 100.0::DOUBLE AS score, n.user_id = o.user_id OR (n.event_type = o.event_type) AS shares FROM props n JOIN props o ON n.event_id % 500 = 1 AND o.event_id % 50 = 3"
-
-
-@query("l10_j10_revise_similar", sql("SELECT b.id, CASE WHEN o.first IS NOT NULL THEN 'MERGED' WHEN s.top IS NULL THEN 'NEW' WHEN s.top >= 0.95 THEN 'MERGED' WHEN NOT s.shares THEN 'NEW' ELSE 'PENDING' END AS action, CASE WHEN o.first IS NOT NULL THEN o.first WHEN s.top >= 0.95 OR s.shares THEN s.best END AS match_id FROM (SELECT context_id, text, min(id) AS id FROM props WHERE event_id % 500 = 1 GROUP BY ALL) b LEFT JOIN (SELECT context_id, text, min(id) AS first FROM props WHERE event_id % 50 = 3 AND status = 'ACTIVE' GROUP BY ALL) o USING (context_id, text) LEFT JOIN (SELECT id, max(score) AS top, max_by(match_id, (score, match_id)) AS best, bool_or(shares) AS shares FROM sim WHERE score >= 0.5 GROUP BY id) s ON s.id = b.id", "props", sim=_SIM))
+@query("l10_j10_revise_similar")
 def l10b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = propositions(spark, sf_dir)
-    new, old = p.where("event_id % 500 = 1"), p.where("event_id % 50 = 3")
-    pairs = new.select("id", F.col("event_id").alias("a")).crossJoin(F.broadcast(old.select(F.col("id").alias("match_id"), F.col("event_id").alias("b"))))
-    return revise.fast_path(new, old, pairs.select("id", "match_id", (((F.col("a") * 7 + F.col("b") * 13) % 100) / F.lit(100.0)).alias("score")))
-
-
-@query("l10_j10_revise_similar_all")
-def l10c(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event is new or existing, candidates by the similarity of words; a quarter of the statements is new only. l10_j10_revise_similar keeps to what its SQL has."""
+    """Every event is new or existing, candidates by the similarity of words; a quarter of the statements is new only."""
     p = propositions(spark, sf_dir)
     fresh = "event_id % 4 = 0 OR crc32(text) % 4 = 0"
     new, old = p.where(fresh), p.where(f"NOT ({fresh})")
@@ -136,43 +125,22 @@ def l27(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.apply_collection(p, lifecycle.collect(p, _marks(p))).select("id", "status")
 
 
-_JAC = "len(list_intersect({a}, {b})) / len(list_distinct(list_concat({a}, {b})))::DOUBLE"
-_CLASSES = "SELECT p.id, p.context_id, p.confidence, p.event_id, list_distinct(string_split_regex(lower(p.text), '\\s+')) AS w, list_sort(list(m.resolved_id) FILTER (m.resolved_id IS NOT NULL)) AS e FROM props p JOIN mentions m ON m.proposition_id = p.id GROUP BY p.id, p.context_id, p.confidence, p.event_id, p.text"
-_CONS = (
-    "SELECT s.id, CASE WHEN b.score > 0.9 THEN 'REINFORCED' WHEN b.score IS NOT NULL THEN 'MERGED' WHEN s.confidence >= 0.6 THEN 'PROMOTED' ELSE 'DISCARDED' END AS action, b.match_id, "
-    "round(CASE WHEN b.score > 0.9 THEN least(1.0, b.old + 0.1) WHEN b.score IS NOT NULL THEN (b.old + s.confidence) / 2 ELSE s.confidence END, 6) AS confidence FROM (SELECT * FROM x WHERE event_id % 97 = 0) s LEFT JOIN "
-    "(SELECT id, match_id, old, score FROM (SELECT n.id, o.id AS match_id, o.confidence AS old, 0.7 * "
-    + _JAC.format(a="n.w", b="o.w")
-    + " + 0.3 * CASE WHEN len(n.e) = 0 AND len(o.e) = 0 THEN 0.5 WHEN len(n.e) = 0 OR len(o.e) = 0 THEN 0 ELSE "
-    + _JAC.format(a="n.e", b="o.e")
-    + " END AS score, row_number() OVER (PARTITION BY n.id ORDER BY round(score, 9) DESC, o.id) AS nth FROM x n JOIN x o ON n.context_id = o.context_id AND n.event_id % 97 = 0 AND o.event_id % 11 = 5 WHERE score >= 0.7) WHERE nth = 1) b ON b.id = s.id"
-)
-
-
-@query("l24_l28_m05_consolidate", sql(_CONS, "props", "mentions", x=_CLASSES))
+@query("l24_l28_m05_consolidate")
 def l24(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = propositions(spark, sf_dir)
-    out = consolidate.consolidate(p.where("event_id % 97 = 0"), p.where("event_id % 11 = 5"))
-    return out.withColumn("confidence", F.round("confidence", 6))
-
-
-@query("l24_l28_m05_consolidate_all")
-def l24b(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event is of the session or existing, and all are compared; l24_l28_m05_consolidate keeps to what its SQL has."""
+    """Every event is of the session or existing, and all are compared."""
     p = propositions(spark, sf_dir)
     session = "event_id % 4 = 0 OR crc32(text) % 4 = 0"
     out = consolidate.consolidate(p.where(session), p.where(f"NOT ({session})"))
     return out.withColumn("confidence", F.round("confidence", 6))
 
 
-@query("l26_j11_contradictions", sql(f"SELECT CASE WHEN a.eff < b.eff THEN a.id ELSE b.id END AS id, CASE WHEN a.eff < b.eff THEN b.id ELSE a.id END AS other_id, CASE WHEN CASE WHEN a.eff < b.eff THEN a.pinned ELSE b.pinned END THEN 'REVIEW' ELSE 'CONTRADICTED' END AS outcome FROM (SELECT DISTINCT x.proposition_id AS i, y.proposition_id AS j FROM m x JOIN m y ON x.context_id = y.context_id AND x.resolved_id = y.resolved_id AND x.proposition_id < y.proposition_id) JOIN props a ON a.id = i JOIN props b ON b.id = j WHERE a.text <> b.text AND (a.text LIKE '%error' OR b.text LIKE '%error') AND (a.text LIKE '%purchase' OR b.text LIKE '%purchase') AND {AT} IS NOT NULL", "props", "mentions", m="SELECT * FROM mentions WHERE status = 'ACTIVE' AND resolved_id LIKE 'user-%'"))
+@query("l26_j11_contradictions", sql(f"SELECT CASE WHEN a.eff < b.eff THEN a.id ELSE b.id END AS id, CASE WHEN a.eff < b.eff THEN b.id ELSE a.id END AS other_id, CASE WHEN CASE WHEN a.eff < b.eff THEN a.pinned ELSE b.pinned END THEN 'REVIEW' ELSE 'CONTRADICTED' END AS outcome FROM (SELECT DISTINCT x.proposition_id AS i, y.proposition_id AS j FROM m x JOIN m y ON x.context_id = y.context_id AND x.resolved_id = y.resolved_id AND x.proposition_id < y.proposition_id) JOIN props a ON a.id = i JOIN props b ON b.id = j WHERE a.text <> b.text AND (a.text LIKE '%error' OR b.text LIKE '%error') AND (a.text LIKE '%purchase' OR b.text LIKE '%purchase') AND {AT} IS NOT NULL", "props", "mentions", m="SELECT * FROM mentions WHERE status = 'ACTIVE'"))
 def l26(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases and errors of one person contradict each other here."""
     p = propositions(spark, sf_dir)
-    people = p.withColumn("mentions", F.filter("mentions", lambda m: m["resolved_id"].startswith("user-")))
     either = lambda a, b, w: a.endswith(w) | b.endswith(w)
     test = lambda a, b: (a != b) & either(a, b, "error") & either(a, b, "purchase")
-    return consolidate.resolve_contradictions(consolidate.contradiction_candidates(people), p, AS_OF, test)
+    return consolidate.resolve_contradictions(consolidate.contradiction_candidates(p, test), p, AS_OF, test)
 
 
 @query("l29_a10_dream_loop", sql(f"SELECT (SELECT count(*) FROM props WHERE status = 'ACTIVE') AS examined, (SELECT count(*) FROM c WHERE outcome = 'TRANSITIONED') + (SELECT count(*) FROM props WHERE status = 'ACTIVE' AND NOT pinned AND {util()} < 0.1 AND id NOT IN (SELECT id FROM c WHERE outcome = 'TRANSITIONED')) AS transitioned", "props", c=_COLLECT.replace("FROM props WHERE", "FROM props WHERE status = 'ACTIVE' AND (").replace("event_id % 3 = 0 THEN 'duplicate,stale'", "event_id % 3 = 0 THEN 'duplicate,stale'") + ")"))

@@ -91,8 +91,3 @@ def r12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_provenance(propositions(spark, sf_dir).where("context_id = 'ctx-2'"), provenance(spark, sf_dir))
     short = lambda c, f, most, size, sep: F.array_join(F.transform(F.slice(c, 1, most), lambda x: F.substring(x[f], 1, size)), sep)
     return rows.select("id", short(F.col("provenance"), "display", 2, 80, "; ").alias("sources"), short(F.col("mentions"), "span", 4, 40, ", ").alias("people"))
-
-
-@query("j16_paths_in_context", sql("SELECT a, b, count(*) AS n FROM edges JOIN props0 ON id = p WHERE context_id = 'ctx-3' GROUP BY a, b", "edges"))
-def j16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.co_mentions(propositions(spark, sf_dir).where("context_id = 'ctx-3'")).groupBy("a", "b").agg(F.count("*").alias("n"))

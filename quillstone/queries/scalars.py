@@ -51,13 +51,6 @@ def m10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "authority", scoring.trust_of_tier(F.col("authority")).alias("trust"), F.lit(1.0).alias("neutral"))
 
 
-@query("m13_edit_distance_score", "SELECT p_partkey AS id, round((1 - levenshtein(lower(p_name), 'small ring') / greatest(length(p_name), 10)::DOUBLE) * 0.7, 6) AS score FROM part WHERE levenshtein(lower(p_name), 'small ring') <= 8")
-def m13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name, wanted = F.lower("p_name"), F.lit("small ring")
-    far = F.levenshtein(name, wanted)
-    return table(spark, sf_dir, "part").where(far <= 8).select(F.col("p_partkey").alias("id"), F.round((1 - far / F.greatest(F.length("p_name"), F.length(wanted))) * 0.7, 6).alias("score"))
-
-
 @query("m14_fuzzy_names", "WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS name_a, b.name AS name_b FROM n a JOIN n b ON a.name < b.name AND least(length(a.name), length(b.name)) >= 4 AND levenshtein(lower(a.name), lower(b.name)) <= floor(0.2 * least(length(a.name), length(b.name)))")
 def m14(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "part").select("p_name").distinct()
@@ -107,9 +100,9 @@ def t05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts(spark, sf_dir).select("source_id", text.keyword_hits(words, F.col("text")).cast("bigint").alias("hits"), F.size(text.keywords(F.col("text"))).cast("bigint").alias("n_keywords"))
 
 
-@query("t07_t10_predicates", r"SELECT p_partkey AS id, regexp_replace(upper(trim(p_name)), '\s+', '_', 'g') AS kind, 'has ' || lower(regexp_replace(p_type, '([a-z])([A-Z])', '\1 \2', 'g')) AS predicate, '''' || regexp_replace(lower(p_brand), '[^a-z0-9_]', '_', 'g') || '''' AS atom, lower(regexp_replace(regexp_replace(p_name, ' ', '', 'g'), '([a-z])([A-Z])', '\1_\2', 'g')) AS fact FROM part WHERE NOT contains(p_type, '_')")
+@query("t07_t10_predicates", r"SELECT p_partkey AS id, regexp_replace(upper(trim(p_name)), '\s+', '_', 'g') AS kind, CASE WHEN contains(p_type, '_') THEN replace(lower(p_type), '_', ' ') ELSE 'has ' || lower(regexp_replace(p_type, '([a-z])([A-Z])', '\1 \2', 'g')) END AS predicate, '''' || regexp_replace(lower(p_brand), '[^a-z0-9_]', '_', 'g') || '''' AS atom, lower(regexp_replace(regexp_replace(p_name, ' ', '', 'g'), '([a-z])([A-Z])', '\1_\2', 'g')) AS fact FROM part")
 def t07(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where(~F.col("p_type").contains("_"))
+    p = table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("id"), text.relationship_type(F.col("p_name")).alias("kind"), text.predicate_of(F.col("p_type")).alias("predicate"), text.atom(F.col("p_brand")).alias("atom"), text.fact_predicate(F.replace("p_name", F.lit(" "), F.lit(""))).alias("fact"))
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..fixtures import exploded_mentions, propositions, provenance
 from ..operators import store
+from ..operators.records import find, runs
+from ..operators.resolve import mention_resolutions
 from ..session import table
 from .aggregates import RECORDS, records
 from .registry import query
@@ -65,11 +67,11 @@ def s11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stay.select("id", F.lit(n).cast("bigint").alias("cleared"))
 
 
-@query("s12_cascade_clear", sql("SELECT DISTINCT key FROM provenance WHERE key NOT IN (SELECT key FROM provenance JOIN props ON id = proposition_id WHERE event_id < 40)", "props", "provenance"))
+@query("s12_cascade_clear", sql("SELECT DISTINCT key FROM provenance WHERE key NOT IN (SELECT key FROM provenance JOIN props ON id = proposition_id WHERE pinned)", "props", "provenance"))
 def s12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All but the pinned propositions are cleared."""
     p, s = propositions(spark, sf_dir), provenance(spark, sf_dir)
-    surviving = p.where("event_id < 40")
-    return store.orphans(s.select("key").distinct(), s, surviving)
+    return store.orphans(s.select("key").distinct(), s, p.where("pinned"))
 
 
 @query("s14_provenance_edit", sql("SELECT id, CASE WHEN event_id % 3 = 1 THEN 0 WHEN event_id % 3 = 2 THEN 1 ELSE coalesce(n, 0) + 1 END AS n FROM props LEFT JOIN (SELECT proposition_id, count(*) AS n FROM provenance GROUP BY 1) ON id = proposition_id", "props", "provenance"))
@@ -101,7 +103,8 @@ def s19(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s20_projection_records", sql("SELECT proposition_id, target, run_id FROM records WHERE context_id = 'ctx-3' AND lifecycle = 'STALE' OR target_ref = 'ref-9'", records=RECORDS))
 def s20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).where("context_id = 'ctx-3' AND lifecycle = 'STALE' OR target_ref = 'ref-9'").select("proposition_id", "target", "run_id")
+    r = records(spark, sf_dir)
+    return find(r, context_id="ctx-3", stale=True).union(find(r, target_ref="ref-9")).distinct().select("proposition_id", "target", "run_id")
 
 
 @query("s21_s24_merge_records", sql("SELECT run_id, target, max(price) AS price FROM records GROUP BY ALL", records=RECORDS))
@@ -121,7 +124,7 @@ def s22(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("s23_collector_records", sql("SELECT run_id, count(*) AS n, count(DISTINCT proposition_id) AS n_propositions FROM records GROUP BY run_id", records=RECORDS))
 def s23(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).groupBy("run_id").agg(F.count("*").alias("n"), F.count_distinct("proposition_id").alias("n_propositions"))
+    return runs(records(spark, sf_dir))
 
 
 @query("s25_safe_rows", "SELECT o_orderkey AS k, CASE WHEN o_orderstatus = 'F' THEN 'SKIPPED' WHEN o_orderstatus = 'O' THEN 'MARKED' ELSE 'SKIPPED' END AS outcome, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE epoch_us(TIMESTAMP '2024-01-02 03:04:05') // 1000000 END AS at FROM orders")
@@ -132,12 +135,6 @@ def s25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(F.col("o_orderkey").alias("k"), store.safe_outcome(name).alias("outcome"), F.unix_seconds(store.safe_time(at)).alias("at"))
 
 
-@query("s26_w05_bookmarks", "SELECT 'ctx-' || (c_nationkey) AS context_id, max_by(c_custkey, (c_acctbal, c_custkey)) AS end_index, count(*) AS n FROM customer GROUP BY 1")
-def s26(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer")
-    return c.groupBy(F.concat(F.lit("ctx-"), F.col("c_nationkey").cast("string")).alias("context_id")).agg(F.max(F.struct("c_acctbal", "c_custkey"))["c_custkey"].alias("end_index"), F.count("*").alias("n"))
-
-
 @query("s28_mention_ids", sql("SELECT proposition_id || '#' || pos || ':' || span || '|' || type || '|' || role || '|' || coalesce(resolved_id, '') AS mention_id FROM mentions", "mentions"))
 def s28(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = exploded_mentions(propositions(spark, sf_dir))
@@ -155,9 +152,8 @@ def s34(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j12(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions with the resolution of the same span and type, in any case and spacing."""
     m = exploded_mentions(propositions(spark, sf_dir))
-    key = lambda c: F.lower(F.trim(c))
-    known = m.where("type = 'EventType'").select(F.upper("span").alias("s"), F.concat(F.lit(" "), F.col("type")).alias("t"), F.concat(F.upper("type"), F.lit(":"), F.col("span")).alias("entity")).distinct()
-    return m.join(known, (key(F.col("span")) == key(F.col("s"))) & (key(F.col("type")) == key(F.col("t"))), "left").select("proposition_id", "pos", "entity")
+    known = m.where("type = 'EventType'").select(F.upper("span").alias("span"), F.concat(F.lit(" "), F.col("type")).alias("type"), F.concat(F.upper("type"), F.lit(":"), F.col("span")).alias("entity")).distinct()
+    return mention_resolutions(m, known).select("proposition_id", "pos", "entity")
 
 
 @query("w03_first_of_batch", sql("SELECT id FROM (SELECT id, event_id, row_number() OVER (PARTITION BY context_id, text ORDER BY id) AS nth FROM props) WHERE nth = 1", "props"))
@@ -165,5 +161,3 @@ def w03(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.revise import first_of_batch
 
     return first_of_batch(propositions(spark, sf_dir)).select("id")
-
-

@@ -79,7 +79,7 @@ def test_revision_is_of_every_event(spark, sf):
     rows = [r.asDict(recursive=True) for r in p.collect()]
     fresh = lambda r: r["event_id"] % 4 == 0 or zlib.crc32(r["text"].encode()) % 4 == 0
     new, old = [r for r in rows if fresh(r)], [r for r in rows if not fresh(r)]
-    got = QUERIES["l10_j10_revise_similar_all"](spark, sf).collect()
+    got = QUERIES["l10_j10_revise_similar"](spark, sf).collect()
     assert sorted(map(tuple, got)) == revised(new, old)
     assert {r["action"] for r in got} >= {"MERGED", "PENDING"}
 
@@ -115,7 +115,7 @@ def test_consolidation_is_of_every_event(spark, sf):
     rows = [r.asDict(recursive=True) for r in propositions(spark, sf).collect()]
     fresh = lambda r: r["event_id"] % 4 == 0 or zlib.crc32(r["text"].encode()) % 4 == 0
     want = consolidated([r for r in rows if fresh(r)], [r for r in rows if not fresh(r)])
-    got = {r["id"]: (r["action"], r["match_id"], r["confidence"]) for r in QUERIES["l24_l28_m05_consolidate_all"](spark, sf).collect()}
+    got = {r["id"]: (r["action"], r["match_id"], r["confidence"]) for r in QUERIES["l24_l28_m05_consolidate"](spark, sf).collect()}
     assert got.keys() == want.keys()
     for i, (action, match, confidence) in want.items():
         assert got[i][:2] == (action, match) and abs(got[i][2] - confidence) < 2e-5
