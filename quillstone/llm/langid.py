@@ -3,14 +3,15 @@
 The kernel of two texts is the share of their character n-grams, of one to ``ORDERS`` letters (a
 blended spectrum, by presence, not count): |A ∩ B| / sqrt(|A| |B|), where the n-grams are hashed into
 ``DIMENSIONS`` places. ``LANDMARKS`` training texts span a Nyström approximation of the kernel's
-feature space, in which a ridge regression against each language's +1 / -1 is solved. A batch of texts
+feature space (one of each language at least), in which a ridge regression against each language's +1 / -1 is solved. A batch of texts
 is scored by two matrix products: presence rows times landmark rows, then kernel values times weights.
 Whole texts are used, in lower case, with everything but letters and numbers as one space.
 
 Defined results
     null text, or text without a letter: predicted ``und``, margin null. Very short texts are scored
     like others; their margins are small. Ties of scores: the language first in alphabetical order.
-    Repeated rows: each is scored by itself. Empty table: no row. With one labelled language, it is
+    Repeated rows: each is scored by itself; in the fit, equal rows count once and a doc_id of several
+    texts with each of them, up to the bound. Empty table: no row. With one labelled language, it is
     always predicted; with none, ``und``. Rows of null language are scored, not fitted on. Other
     columns are ignored.
 """
@@ -31,10 +32,9 @@ from .kernels import Slab, slabs
 
 ORDERS, DIMENSIONS = 3, 1 << 14
 LANDMARKS, RIDGE = 64, 1e-2
-#: Labelled texts fitted on, at most, of each language.
-FIT_TEXTS = 200
-#: Languages that are told apart, at most: those with the most documents.
-LANGUAGES = 200
+#: Labelled texts fitted on, at most, of each language, and about how many in all: with many languages
+#: each has its share of those, but ``LEAST_TEXTS``.
+FIT_TEXTS, FIT_ALL, LEAST_TEXTS = 200, 8000, 20
 SCHEMA = "doc_id bigint, lang string, predicted string, margin double"
 _PRIMES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint32)
 ROWS = 256
@@ -77,20 +77,20 @@ class Model:
 
 
 def fit(texts: list[str], langs: list[str]) -> Model:
-    """A model from labelled texts; landmarks are taken from the languages in turn."""
+    """A model from labelled texts; landmarks are taken from the languages in turn, one of each at least."""
     languages = sorted(set(langs))
     label = np.searchsorted(languages, langs)
-    rows = np.concatenate([presence(s) for _, s in slabs(texts, rows=ROWS)])
-    rows /= np.sqrt(np.maximum(rows.sum(axis=1, keepdims=True), 1))
+    scaled = lambda slab: (r := presence(slab)) / np.sqrt(np.maximum(r.sum(axis=1, keepdims=True), 1))
     turn = np.empty(len(texts), np.int64)
     for k in range(len(languages)):
         own = np.flatnonzero(label == k)
         turn[own] = np.arange(len(own))
-    mark = rows[np.lexsort((label, turn))[:LANDMARKS]]
+    marks = np.lexsort((label, turn))[: max(LANDMARKS, len(languages))]
+    mark = np.concatenate([scaled(s) for _, s in slabs([texts[i] for i in marks], rows=ROWS)])
     values, vectors = np.linalg.eigh((mark @ mark.T).astype(np.float64))
     keep = values > 1e-6 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
-    z = (rows @ mark.T).astype(np.float64) @ root
+    z = np.concatenate([(scaled(s) @ mark.T).astype(np.float64) @ root for _, s in slabs(texts, rows=ROWS)])
     z1 = np.hstack([z, np.ones((len(z), 1))])
     y = np.where(label[:, None] == np.arange(len(languages)), 1.0, -1.0)
     penalty = RIDGE * len(z) * np.eye(z1.shape[1]) / max(z.shape[1], 1)
@@ -103,11 +103,12 @@ def fit_model(docs: DataFrame, most: int = FIT_TEXTS) -> Model | None:
     """Fitted on at most so many labelled documents of each language, those whose ids have the smallest hashes; equal rows count once."""
     ready(docs.sparkSession)
     labelled = docs.select("doc_id", "lang", "text").where("lang IS NOT NULL AND doc_id IS NOT NULL AND text IS NOT NULL")
-    langs = [r[0] for r in labelled.groupBy(F.col("lang").cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    langs = labelled.agg(F.count_distinct("lang")).first()[0]
     if not langs:
         return None
+    most = min(most, max(LEAST_TEXTS, FIT_ALL // langs))
     order = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
-    ids = labelled.where(F.col("lang").isin(langs)).select("lang", "doc_id").withColumn("nth", F.dense_rank().over(order)).where(F.col("nth") <= most).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    ids = labelled.select("lang", "doc_id").withColumn("nth", F.dense_rank().over(order)).where(F.col("nth") <= most).select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
     sample = labelled.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", F.col("text").cast("string").alias("text")).distinct()
     each = Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "text")
     rows = sample.withColumn("nth", F.row_number().over(each)).where(F.col("nth") <= most).orderBy("lang", "nth").collect()
@@ -138,6 +139,6 @@ def _scorer(model: object) -> Callable:
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """(doc_id, lang, predicted, margin) of each document; the margin is the best score less the second."""
     spark = ready(docs.sparkSession)
-    shared = spark.sparkContext.broadcast(model or fit_model(docs))  # LANDMARKS rows of DIMENSIONS floats, whatever the data
+    shared = spark.sparkContext.broadcast(model or fit_model(docs))  # DIMENSIONS floats for each landmark: LANDMARKS, or as many as languages
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_scorer(shared), SCHEMA)
