@@ -15,13 +15,14 @@ Defined results
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ready
+from ..session import ready, shared_folder
 
 SLOTS = 4096
 SHARDS = 16
@@ -86,6 +87,13 @@ class SlotMap:
         """Adds this version to the folder's history; a version that is there is never overwritten."""
         self.rows(spark).drop("version").coalesce(1).write.mode("error").parquet(f"{folder}/version={self.version}")
 
+    @staticmethod
+    def latest(spark: SparkSession, folder: str) -> SlotMap | None:
+        """The folder's latest version, if there is any."""
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+        return SlotMap.load(spark, folder) if there else None
+
     @staticmethod
     def load(spark: SparkSession, folder: str, version: int | None = None) -> SlotMap:
         """The given version, or the latest."""
@@ -108,7 +116,18 @@ def assign(docs: DataFrame, slot_map: SlotMap, id_column: str = "doc_id") -> Dat
     return joined.select("records.*", rows["_slot"].alias("slot"), rows["shard"], rows["map_version"])
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """All documents assigned by the first map, rebalanced once for their bytes."""
-    ready(docs.sparkSession)
-    return assign(docs, SlotMap.initial(shards).rebalanced(slot_loads(docs)))
+def shard_documents(docs: DataFrame, shards: int = SHARDS, folder: str | None = None) -> DataFrame:
+    """All documents assigned by the folder's latest map, rebalanced once for their bytes and saved there as the next version.
+
+    An empty folder first gets the initial map, as version 1. Without a folder the history is in a new one
+    among the session's shared files. A folder has one writer at a time: of two, the later fails.
+    """
+    spark = ready(docs.sparkSession)
+    folder = folder or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    now = SlotMap.latest(spark, folder)
+    if now is None:
+        now = SlotMap.initial(shards)
+        now.save(spark, folder)
+    after = now.rebalanced(slot_loads(docs), shards)
+    after.save(spark, folder)
+    return assign(docs, after)
