@@ -11,20 +11,22 @@ it reads, holding one bundle at a time.
 Defined results
     null html: a record without payload, marked so, that reads back as null; empty html reads back as
     empty. null url: no target header, reads back as null. null page_id: indexed under null.
-    repeated page_ids and rows: a record each, all of them in the index. A page longer than a frame
+    repeated page_ids and rows: a record each, with its own record id, all of them in the index. A page longer than a frame
     fills one frame by itself, whole. Empty table: no bundle. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ready
@@ -35,9 +37,13 @@ SCHEMA = "bundle_id string, n_records bigint, n_frames bigint, raw_bytes bigint,
 _RECORDS = pa.list_(pa.struct([("page_id", pa.int64()), ("frame", pa.int32()), ("start", pa.int64()), ("length", pa.int64())]))
 
 
-def record(page_id: int | None, url: str | None, html: str | None) -> bytes:
+def record(page_id: int | None, url: str | None, html: str | None, place: str = "") -> bytes:
+    """The record's own id comes from its content and its place, so a repeated page has others."""
     body = (html or "").encode("utf-8", "surrogatepass")
-    head = ["WARC/1.0", "WARC-Type: resource", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    own = hashlib.md5(f"{place} {page_id} {url!r} {html is None} ".encode() + body, usedforsecurity=False).hexdigest()
+    head = ["WARC/1.0", "WARC-Type: resource", f"WARC-Record-ID: <urn:uuid:{uuid.UUID(own)}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    if page_id is not None:
+        head.append(f"X-Page-ID: {page_id}")
     if url is not None:
         if url.isprintable() and url == url.strip():
             head.append(f"WARC-Target-URI: {url}")
@@ -53,12 +59,12 @@ def parse(data: bytes) -> tuple[int | None, str | None, str | None]:
     """(page_id, url, html) of a record."""
     head, _, rest = data.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    page = fields["WARC-Record-ID"][len("<urn:page:") : -1]
+    page = fields.get("X-Page-ID")
     url = fields.get("WARC-Target-URI")
     if (odd := fields.get("X-Target-URI-Base64")) is not None:
         url = base64.b64decode(odd).decode("utf-8", "surrogatepass")
     html = None if "X-Payload" in fields else rest[: int(fields["Content-Length"])].decode("utf-8", "surrogatepass")
-    return int(page) if page else None, url, html
+    return None if page is None else int(page), url, html
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -114,9 +120,11 @@ class _Bundle:
             self.packed += len(self.done[-1])
             self.open, self.fill = [], 0
 
-    def row(self, name: str) -> pa.RecordBatch:
+    def row(self, place: str) -> pa.RecordBatch:
+        """Named by its place and its content: the same data packed alike has the same names, other data another."""
         self.close_frame()
         payload = b"".join([*self.done, seek_table(self.sizes)])
+        name = f"{place}-{hashlib.sha256(payload).hexdigest()[:16]}"
         keys = ("page_id", "frame", "start", "length")
         cells = [[name], [len(self.index)], [len(self.done)], [sum(d for _, d in self.sizes)]]
         return pa.RecordBatch.from_arrays([*(pa.array(c) for c in cells), pa.array([payload], pa.binary()), pa.array([[dict(zip(keys, r, strict=True)) for r in self.index]], _RECORDS)], ["bundle_id", "n_records", "n_frames", "raw_bytes", "payload", "records"])
@@ -127,7 +135,7 @@ def _packer(frame_bytes: int, bundle_bytes: int, level: int) -> Callable:
         part, n, bundle = TaskContext.get().partitionId(), 0, _Bundle(frame_bytes, level)
         for batch in batches:
             for page_id, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                bundle.add(page_id, record(page_id, url, html))
+                bundle.add(page_id, record(page_id, url, html, f"{part}-{n}-{len(bundle.index)}"))
                 if bundle.packed >= bundle_bytes:
                     yield bundle.row(f"{part:06d}-{n:06d}")
                     n, bundle = n + 1, _Bundle(frame_bytes, level)
@@ -168,6 +176,14 @@ def fetch(packed: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 
 
 def write_files(packed: DataFrame, folder: str) -> None:
-    """Bundles as Parquet rows under the folder, their index beside them, on storage that all executors share."""
+    """Bundles as Parquet rows under the folder, their index beside them by page_id, on storage that all executors share."""
     packed.select("bundle_id", "payload").write.parquet(f"{folder}/bundles")
-    packed.select("bundle_id", F.explode("records").alias("r")).select("bundle_id", "r.*").write.parquet(f"{folder}/index")
+    rows = packed.select("bundle_id", F.explode("records").alias("r")).select("bundle_id", "r.*")
+    rows.repartitionByRange("page_id").sortWithinPartitions("page_id").write.parquet(f"{folder}/index")
+
+
+def fetch_files(spark: SparkSession, folder: str, ids: DataFrame) -> DataFrame:
+    """What ``fetch`` gives, from written files: the index is searched, then only the bundles and frames with a hit are read."""
+    hits = spark.read.parquet(f"{folder}/index").join(ids.select(F.col("page_id").cast("bigint").alias("page_id")).distinct(), "page_id")
+    wanted = hits.groupBy("bundle_id").agg(F.collect_list(F.struct("page_id", "frame", "start", "length")).alias("records"))
+    return fetch(spark.read.parquet(f"{folder}/bundles").join(wanted, "bundle_id"))
