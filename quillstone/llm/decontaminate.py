@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ready
+from ..session import checkpoint, ready
 from .kernels import Slab, slabs
 
 WINDOW, LEAST = 8, 3
-#: Characters of items in one automaton; a larger benchmark takes several scans.
+#: Characters of items in one automaton; a larger benchmark takes several scans, with the same results.
 AUTOMATON_CHARS = 8_000_000
 SCHEMA = "doc_id bigint, item_id bigint, start bigint, stop bigint, words bigint"
 _built: dict[tuple, object] = {}
@@ -128,22 +128,29 @@ def _finder(items: _Items, window: int, least: int) -> Callable:
     return run
 
 
-def _item_sets(benchmark: DataFrame) -> list[_Items]:
-    """The items in parts that one automaton can hold each; more of them are more scans."""
+def _item_sets(benchmark: DataFrame) -> tuple[int, Iterator[_Items]]:
+    """The items in parts that one automaton can hold each, and how many; a part is read when it is asked for."""
     sc = ready(benchmark.sparkSession).sparkContext
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = 1 + size // AUTOMATON_CHARS
-    own = [items] if parts == 1 else [items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) for k in range(parts)]
-    return [_Items(sc.broadcast([tuple(r) for r in part.collect()])) for part in own]
+    own = (items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k) for k in range(parts))
+    return parts, (_Items(sc.broadcast([tuple(r) for r in part.collect()])) for part in own)
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
-    """(doc_id, item_id, start, stop, words) of each passage of a test item in a document, in characters of its text."""
+    """(doc_id, item_id, start, stop, words) of each passage of a test item in a document, in characters of its text.
+
+    With several parts, each scan is done and its items are released before the next part is read.
+    """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = None
-    for items in _item_sets(benchmark):
+    parts, sets = _item_sets(benchmark)
+    for items in sets:
         part = texts.mapInArrow(_finder(items, window, least), SCHEMA)
+        if parts > 1:
+            part = checkpoint(part)
+            items.broadcast.destroy()
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -161,7 +168,11 @@ def _spotter(items: _Items, window: int, least: int) -> Callable:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """The documents in which no passage of a test item was found."""
-    for items in _item_sets(benchmark):
+    parts, sets = _item_sets(benchmark)
+    for items in sets:
         clean = F.arrow_udf(_spotter(items, window, least), "boolean")
         docs = docs.where(clean(F.col("text").cast("string")))
+        if parts > 1:
+            docs = checkpoint(docs)
+            items.broadcast.destroy()
     return docs
