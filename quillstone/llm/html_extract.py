@@ -8,8 +8,9 @@ page without them is treated alike. How strongly tags count against words is cho
 
 Defined results
     null html: null content, score null. No word with a positive region: empty content, score 0.
-    Comments, scripts and styles count as one tag each and never as words. Unclosed ones, and a "<"
-    that is never closed, reach to the end. Ties: the first region, and the shortest of those that
+    Comments, scripts and styles count as one tag each and never as words. Unclosed ones, and a tag that
+    is never closed, reach to the end. A "<" before anything but a letter, "/", "!" or "?" is text; a
+    ">" in a quoted attribute value closes nothing. Ties: the first region, and the shortest of those that
     begin alike. Repeated rows: a row each. Very long pages are scanned whole. No labelled page (an
     empty table included): fallback weights, 1 for words and -5 for every tag. Other columns are
     ignored.
@@ -33,7 +34,11 @@ from ..session import checkpoint, ready
 #: Labelled pages that the weights are fitted on, at most.
 FIT_PAGES = 400
 MARK = "article"
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?[a-zA-Z][^\s/>]*)?[^>]*(?:>|\Z)", re.S | re.I)
+#: A comment; a script or style with all inside; a tag, with quoted values that may hold ">"; a declaration.
+TAG = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<(/?[a-z][^\s/>]*+)(?:[^>=]++|=\s*+(?:"[^"]*"|'[^']*'|))*+(?:>|\Z)|<[/!?][^>]*(?:>|\Z)""",
+    re.S | re.I,
+)
 BREAKS = frozenset("p br div li ul ol h1 h2 h3 h4 h5 h6 tr table section header footer nav article blockquote pre title".split())
 SCHEMA = "page_id bigint, content string, start bigint, stop bigint, words bigint, score double"
 
