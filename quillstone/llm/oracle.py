@@ -5,7 +5,7 @@ from __future__ import annotations
 from .decontaminate import LEAST, WINDOW
 from .mixing import NONE, SEED
 from .ngram_join import THRESHOLD
-from .quality_rules import CHAR_BOUND, COMMON_WORDS, MIN_CHARS, MIN_WORDS, WORD_BOUND
+from .quality_rules import CHAR_BOUND, COMMON, COMMON_WORDS, MIN_CHARS, MIN_WORDS, WORD_BOUND
 from .sharding import SHARDS, SLOTS
 
 WORD = r"[\p{L}\p{N}]+"
@@ -25,12 +25,14 @@ def rules(docs: str) -> str:
     rest = len(next(iter(COMMON_WORDS.values())))
     term = "CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END"
     return f"""
-WITH d AS (SELECT doc_id, row_number() OVER () AS rid, length({t}) AS size, CASE WHEN lang IN ({known}) THEN lang ELSE '*' END AS own, {counts}, {words()} AS w FROM {docs}),
+WITH d0 AS (SELECT doc_id, lang, row_number() OVER () AS rid, length({t}) AS size, {counts}, {words()} AS w FROM {docs}),
+vocabulary AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(w) AS word FROM d0 WHERE lang NOT IN ({known})) GROUP BY ALL),
+lex AS (SELECT * FROM (VALUES {lexicon}) v(own, word, bin) UNION ALL SELECT * FROM (SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) - 1 AS bin FROM vocabulary) WHERE bin < {COMMON}),
+d AS (SELECT *, CASE WHEN lang IN (SELECT own FROM lex) THEN lang ELSE '*' END AS own FROM d0),
 c AS (SELECT rid, own, size, unnest(range(8)) AS bin, unnest([c0, c1, c2, c3, c4, c5, c6, size - c0 - c1 - c2 - c3 - c4 - c5 - c6]) AS n FROM d),
 cr AS (SELECT own, bin, sum(n) AS n FROM c GROUP BY ALL UNION ALL SELECT '*', bin, sum(n) FROM c GROUP BY bin HAVING NOT bool_or(own = '*') UNION ALL SELECT '*', bin, sum(n) FROM c GROUP BY bin HAVING bool_or(own = '*')),
 cq AS (SELECT own, bin, max(n) / greatest(sum(max(n)) OVER (PARTITION BY own), 1) AS q FROM cr GROUP BY own, bin),
 cd AS (SELECT rid, sqrt(greatest(sum({term}) / 2, 0)) AS d FROM (SELECT rid, c.n / c.size AS p, q FROM c JOIN cq USING (own, bin) WHERE c.size >= {MIN_CHARS}) GROUP BY rid),
-lex(own, word, bin) AS (VALUES {lexicon}),
 x AS (SELECT rid, own, unnest(w) AS word FROM d WHERE own <> '*'),
 b AS (SELECT rid, own, coalesce(bin, {rest}) AS bin, count(*) AS n FROM x LEFT JOIN lex USING (own, word) GROUP BY ALL),
 wq AS (SELECT own, bin, n / sum(n) OVER (PARTITION BY own) AS q FROM (SELECT own, bin, sum(n) AS n FROM b GROUP BY ALL)),

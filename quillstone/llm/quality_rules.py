@@ -1,8 +1,9 @@
 """Quality rules by distribution divergence.
 
 Two histograms of each document are held against the reference of its language, the sum of the
-histograms of all documents of that language: characters by class, and words by common word (the
-listed function words, and one bin for all others). The distance is the square root of the
+histograms of all documents of that language: characters by class, and words by common word (twelve,
+and one bin for all others). The common words of four languages are listed; those of any other are the
+commonest in its documents. The distance is the square root of the
 Jensen-Shannon divergence in bits, from 0 to 1. A document is rejected when a distance exceeds its
 bound, a base plus a slope over the root of the number of characters or words, since the noise of a
 histogram falls with that root. A histogram of fewer than the least number is not judged at all.
@@ -10,10 +11,11 @@ histogram falls with that root. A histogram of fewer than the least number is no
 Defined results
     null text, or text without any letter or number: rejected ("empty"), distances null.
     too short for a histogram: that distance is null and does not reject; so very short texts stay.
-    null language, or one without a word list: held against the sum over all documents ("*"), by
-    characters alone. Ties and repeated rows: each row is judged by itself; all rows count in the
-    references. Empty table: no row, same columns. Other columns are kept; columns of the input named
-    like an output (``char_distance``, ``word_distance``, ``verdict``) are replaced by it.
+    null language, or one without any word: held against the sum over all documents ("*"), by
+    characters alone. Words that are as common as others of their language: by the word. Ties and
+    repeated rows: each row is judged by itself; all rows count in the references. Empty table: no row,
+    same columns. Other columns are kept; columns of the input named like an output (``char_distance``,
+    ``word_distance``, ``verdict``) are replaced by it.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ready
@@ -35,6 +37,8 @@ COMMON_WORDS = {
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "une", "que", "est", "pour"),
     "es": ("de", "la", "que", "el", "en", "y", "los", "se", "del", "las", "un", "por"),
 }
+#: Common words of a language that has no list.
+COMMON = 12
 CLASSES = ("lower", "upper", "letter", "number", "space", "stop", "shout", "symbol")
 ALL = "*"
 #: Base and slope of the bound of a distance.
@@ -128,8 +132,20 @@ def _counter(words: dict[str, tuple[str, ...]]) -> Callable:
     return run
 
 
+def word_lists(docs: DataFrame, listed: dict[str, tuple[str, ...]] = COMMON_WORDS) -> dict[str, tuple[str, ...]]:
+    """The listed languages' words, and for every other language of the documents its commonest."""
+    lang, text = F.col("lang").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    others = docs.select(lang.alias("lang"), text.alias("text")).where(F.col("lang").isNotNull() & ~F.col("lang").isin(*listed))
+    counts = others.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("n"))
+    ranked = counts.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("nth") <= COMMON)
+    found: dict[str, list[tuple[int, str]]] = {}
+    for r in ranked.collect():  # COMMON rows a language
+        found.setdefault(r["lang"], []).append((r["nth"], r["word"]))
+    return listed | {k: tuple(w for _, w in sorted(v)) for k, v in found.items()}
+
+
 def references(docs: DataFrame, words: dict[str, tuple[str, ...]] = COMMON_WORDS) -> DataFrame:
-    """(kind, lang, bin, n) summed over all documents: 8 character classes and the common words of each listed language."""
+    """(kind, lang, bin, n) summed over all documents: 8 character classes and the common words of each language in ``words``."""
     ready(docs.sparkSession)
     counted = docs.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(_counter(words), "kind string, lang string, bin bigint, n bigint")
     return counted.groupBy("kind", "lang", "bin").agg(F.sum("n").alias("n"))
@@ -163,10 +179,11 @@ def _judge(words: dict[str, tuple[str, ...]], refs: dict[tuple[str, str], np.nda
     return judged
 
 
-def _judged(docs: DataFrame, words: dict[str, tuple[str, ...]] = COMMON_WORDS, char_bound: tuple[float, float] = CHAR_BOUND, word_bound: tuple[float, float] = WORD_BOUND, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> Column:
+def _judged(docs: DataFrame, words: dict[str, tuple[str, ...]] | None = None, char_bound: tuple[float, float] = CHAR_BOUND, word_bound: tuple[float, float] = WORD_BOUND, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS) -> Column:
     """A struct of both distances and the verdict of each document, against the references of all of them."""
+    words = word_lists(docs) if words is None else words
     refs: dict[tuple[str, str], np.ndarray] = {}
-    rows = references(docs, words).collect()  # at most 21 for each listed language
+    rows = references(docs, words).collect()  # at most 21 for each language
     for r in rows:
         size = len(CLASSES) if r["kind"] == "char" else len(words[r["lang"]]) + 1
         refs.setdefault((r["kind"], r["lang"]), np.zeros(size, np.int64))[r["bin"]] = r["n"]
