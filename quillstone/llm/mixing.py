@@ -7,7 +7,8 @@ the order is cut. It is cut before the first document with which the tokens woul
 
 No window covers a whole source or the whole corpus: running sums are taken inside ranges of the
 shuffle hash and of the finish time, on top of the sums of the earlier ranges, so a hot source is
-spread over as many tasks as there are ranges.
+spread over as many tasks as there are ranges. Ranges of finish times lie between quantiles, so that they
+are about equally full whatever the weights; equal times are never parted.
 
 Defined results
     null or empty text: no token; it finishes with the document before it and costs nothing.
@@ -20,6 +21,7 @@ Defined results
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ from ..session import checkpoint, ready
 NONE = "(none)"
 SEED = "mix"
 RANGES = 4096
-TIME_RANGES = 65536
+#: Ranges of finish times, and the accuracy of the quantiles between them.
+TIME_RANGES, ACCURACY = 2048, 20_000
 #: Sources up to this many have their cuts broadcast; more are joined by a shuffle.
 BROADCAST_SOURCES = 100_000
 
@@ -60,10 +63,11 @@ def _queued(docs: DataFrame, weights: dict[str, float], default_weight: float) -
 def _cut(docs: DataFrame, weights: dict[str, float], default_weight: float, budget_tokens: int | None, budget_fraction: float) -> DataFrame:
     """The documents inside the budget, with their place in the order of finish times."""
     queued = checkpoint(_queued(docs, weights, default_weight))
-    last, total = queued.agg(F.max("finish"), F.sum("n_tokens")).first()
+    ranks = [k / TIME_RANGES for k in range(1, TIME_RANGES)]
+    cuts, total = queued.agg(F.percentile_approx("finish", ranks, ACCURACY), F.sum("n_tokens")).first()
     budget = budget_tokens if budget_tokens is not None else int(budget_fraction * (total or 0))
-    width = (last or 0.0) / (TIME_RANGES - 1) or 1.0
-    timed = queued.withColumn("slot", F.floor(F.col("finish") / F.lit(width)))
+    edges = [float("-inf"), *sorted(set(cuts or ())), float("inf")]
+    timed = Bucketizer(splits=edges, inputCol="finish", outputCol="slot").transform(queued) if len(edges) > 2 else queued.withColumn("slot", F.lit(0.0))
     sums = timed.groupBy("slot").agg(F.sum("n_tokens").alias("own"), F.count("*").alias("docs"))
     upto = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)  # over TIME_RANGES rows at most
     sums = sums.select("slot", (F.sum("own").over(upto) - F.col("own")).alias("tokens_before"), (F.sum("docs").over(upto) - F.col("docs")).alias("docs_before"))
