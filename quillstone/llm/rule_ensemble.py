@@ -9,7 +9,8 @@ expression, so scoring is a projection inside the JVM without any Python.
 Defined results
     null text counts as the empty text, whose ratios are 0. A label that is null, or whose document is
     missing, isn't fitted on; a doc_id labelled twice with the same quality counts once, with both
-    qualities not at all. No label of one of the qualities (an empty table included): every document
+    qualities not at all; a labelled doc_id of several texts is fitted on the one of the smallest
+    statistics. No label of one of the qualities (an empty table included): every document
     gets the probability of the other, or 1 without labels. Repeated rows: each is scored by itself.
     Ties (a probability equal to the bound) are kept. Columns of the input are dropped but doc_id.
 """
@@ -180,8 +181,8 @@ def fit_ensemble(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> En
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").cast("bigint").alias("_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high")
     known = known.orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(most).select("_id", F.col("low").cast("double").alias("y"))
     stats = statistics(F.col("text"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_id", "y", *(c.alias(n) for n, c in stats.items())).dropDuplicates(["_id"]).orderBy("_id").collect()
-    data = np.array([tuple(r)[1:] for r in rows], np.float64).reshape(len(rows), len(stats) + 1)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("_id")).select("_id", F.struct("y", *(c.alias(n) for n, c in stats.items())).alias("r")).groupBy("_id").agg(F.min("r").alias("r")).orderBy("_id").collect()
+    data = np.array([tuple(r["r"]) for r in rows], np.float64).reshape(len(rows), len(stats) + 1)
     return fit(data[:, 1:], data[:, 0], list(stats))
 
 
