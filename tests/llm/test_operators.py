@@ -218,6 +218,13 @@ def test_passages(docs, wide, none, rows, benchmark):
     assert decontaminate.passages(none, benchmark).collect() == decontaminate.passages(docs, benchmark.limit(0)).collect() == []
 
 
+def test_a_large_benchmark_takes_several_scans(docs, rows, benchmark, monkeypatch):
+    whole, left = decontaminate.passages(docs, benchmark).collect(), decontaminate.drop_contaminated(docs, benchmark).collect()
+    monkeypatch.setattr(decontaminate, "AUTOMATON_CHARS", 40)
+    same(decontaminate.passages(docs, benchmark).collect(), whole)
+    same(decontaminate.drop_contaminated(docs, benchmark).collect(), left)
+
+
 def test_contaminated_go(docs, wide, none, rows, benchmark):
     bad = {r[0] for r in decontaminate.passages(docs, benchmark).where("doc_id IS NOT NULL").collect()}
     want = [r for r in rows if r[0] not in bad and not (r[0] is None and r[1])]
@@ -238,7 +245,11 @@ def test_another_benchmark_is_another_automaton(spark, docs):
 
 def brute_rules(rows):
     table = quality_rules.class_table()
-    vocabulary, refs, own = quality_rules.COMMON_WORDS, defaultdict(Counter), []
+    vocabulary, refs, own = dict(quality_rules.COMMON_WORDS), defaultdict(Counter), []
+    for lang in {r[2] for r in rows} - {None, *vocabulary}:
+        n = Counter(w for r in rows if r[2] == lang for w in words(r[1]))
+        if n:
+            vocabulary[lang] = tuple(sorted(n, key=lambda w: (-n[w], w))[:12])
     for _, text, lang, *_ in rows:
         lang = lang if lang in vocabulary else "*"
         c = Counter(int(table[ord(x)]) for x in text or "")
@@ -269,11 +280,12 @@ def brute_rules(rows):
 
 def test_rules(docs, wide, none, rows):
     own = [*rows, (90, "a!!! ### " * 60, "en", "a", 0), (91, "the w123 w345 " * 100, "en", "a", 0)]
+    own += [(92 + k, "la %d sol %s " % (k, "mar" * (k % 3)) * 30, "it", "a", 0) for k in range(8)] + [(105, "w9 w8 w7 " * 90, "it", "a", 0)]
     more = docs.sparkSession.createDataFrame(own, DOCS)
     want = list(brute_rules(own))
     got = quality_rules.judge(more)
     same([(*r[:5], *r[5:]) for r in got.collect()], [(*a, *b) for a, b in zip(own, want, strict=True)])
-    assert {"characters", "words", "keep", "empty"} == {b[2] for b in want}
+    assert {"characters", "words", "keep", "empty"} == {b[2] for b in want} and want[-1][2] == "words"
     same(quality_rules.drop_rejected(more).collect(), [a for a, b in zip(own, want, strict=True) if b[2] == "keep"])
     kept = quality_rules.drop_rejected(wide)
     assert kept.columns == wide.columns and {r["verdict"] for r in kept.collect()} == {"own verdict"}
@@ -332,6 +344,14 @@ def test_mixture_follows_the_weights(spark):
     assert abs(got["b"] - 3 * got["a"]) <= 4
 
 
+def test_ranges_are_equally_full_whatever_the_weights(spark):
+    rows = [(k, "one two", "en", "a" if k % 100 == 0 else "b" if k % 3 else "c", 0) for k in range(4000)]
+    weights = {"a": 1e-5, "b": 1e5}
+    df = spark.createDataFrame(rows, DOCS)
+    for fraction in (0.3, 0.999):
+        assert [tuple(r) for r in mixing.mixture(df, weights, budget_fraction=fraction).collect()] == brute_mixture(rows, weights, fraction)
+
+
 # 2. Sharding
 
 
@@ -353,6 +373,19 @@ def test_sharding(spark, docs, wide, none, rows):
     assert sharding.shard_documents(none).collect() == []
 
 
+def test_the_map_is_kept_and_edited(spark, tmp_path, rows):
+    many = [(k, "x" * (1 + k % 50), "en", "a", 0) for k in range(9000)]
+    folder = f"{tmp_path}/map"
+    place = lambda d, **k: {r["doc_id"]: (r["shard"], r["map_version"]) for r in sharding.shard_documents(spark.createDataFrame(d, DOCS), folder=folder, **k).collect()}
+    first, second = place(many), place(many)
+    assert {v for _, v in first.values()} == {2} and {v for _, v in second.values()} == {3}
+    moved = sum(first[k][0] != second[k][0] for k in first) / len(many)
+    assert moved < 0.05
+    fewer = place(many[:4000], shards=12)
+    assert {v for _, v in fewer.values()} == {4} and max(s for s, _ in fewer.values()) == 11
+    assert sharding.SlotMap.load(spark, folder, 1).version == 1
+
+
 def test_slot_map_is_edited_little_and_balances(spark, tmp_path):
     rng = np.random.default_rng(3)
     load = rng.pareto(1.5, sharding.SLOTS).astype(np.int64) + 1
@@ -378,6 +411,18 @@ def test_slot_map_is_edited_little_and_balances(spark, tmp_path):
 PAGES = [(1, "http://a/1", "<p>x</p>"), (2, None, None), (None, "u", "null id"), (3, "odd\r\nInjected: 1", ""), (3, "odd\r\nInjected: 1", ""), (4, "ü", "é" * 300_000), (5, "", "\r\n\r\n")]
 
 
+def test_bundle_files(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string").repartition(2)
+    packed = warc.bundles(pages, frame_bytes=200, bundle_bytes=300)
+    warc.write_files(packed, f"{tmp_path}/w")
+    ids = spark.createDataFrame([(3,), (4,), (99,), (None,), (3,)], "page_id bigint")
+    same(warc.fetch_files(spark, f"{tmp_path}/w", ids).collect(), [p for p in PAGES if p[0] in (3, 4)])
+    names = [r["bundle_id"] for r in packed.collect()]
+    assert len(set(names)) == len(names) and sorted(names) == sorted(r[0] for r in spark.read.parquet(f"{tmp_path}/w/bundles").select("bundle_id").collect())
+    own = [re.search(rb"urn:uuid:[^>]+", warc.read_frame(bytes(b["payload"]), r["frame"])[r["start"] :])[0] for b in packed.collect() for r in b["records"]]
+    assert len(set(own)) == len(PAGES)
+
+
 def test_bundles_round_trip(spark):
     pages = spark.createDataFrame(PAGES, "page_id bigint, url string, html string").withColumn("records", F.lit(1))
     packed = warc.bundles(pages.repartition(2), frame_bytes=200, bundle_bytes=300)
@@ -421,6 +466,50 @@ def test_best_region_is_the_best():
         assert not score or abs(sum(len(page[a:b].split()) if t is None else w.tag(t) for a, b, t in html_extract.segments(page) if start <= a < stop) - score) < 1e-6
 
 
+def brute_segments(page):
+    """One character after the other."""
+    at = begin = 0
+    while at < len(page):
+        low = page[at:].lower()
+        if page[at] != "<" or at + 1 == len(page) or not (page[at + 1] in "/!?" or page[at + 1].isascii() and page[at + 1].isalpha()):
+            at += 1
+            continue
+        if at > begin:
+            yield begin, at, None
+        raw = next((n for n in ("script", "style") if low.startswith("<" + n) and not (low[len(n) + 1 :][:1].isalnum() or low[len(n) + 1 :][:1] == "_")), None)
+        letter = low[1:2].isalpha() or low[1:2] == "/" and low[2:3].isascii() and low[2:3].isalpha()
+        name = raw or (re.match(r"/?[^\s/>]*", low[1:])[0].lstrip("/") if letter else "!")
+        if low.startswith("<!--"):
+            end = low.find("-->", 4)
+            end = len(page) if end < 0 else at + end + 3
+        elif raw:
+            m = re.search(rf"</{raw}\s*>", low)
+            end = at + m.end() if m else len(page)
+        else:
+            end = at + 1 + (len(re.match(r"/?[^\s/>]*", low[1:])[0]) if letter else 0)
+            while end < len(page) and page[end] != ">":
+                end += 1
+                if letter and page[end - 1] == "=":
+                    quote = end + len(page[end:]) - len(page[end:].lstrip())
+                    close = page.find(page[quote], quote + 1) if page[quote : quote + 1] in ('"', "'") and quote < len(page) else -1
+                    end = close + 1 if close > 0 else quote
+            end = min(end + 1, len(page))
+        yield at, end, name
+        at = begin = end
+    if begin < len(page):
+        yield begin, len(page), None
+
+
+def test_tokens():
+    for page, text in (("<p>if a < b then keep all these words here</p>", "if a < b then keep all these words here"), ('<a title="x > y">link</a> text', "link text")):
+        assert html_extract.region_text(page, 0, len(page)) == text
+    draw = np.random.default_rng(2)
+    parts = ["<", ">", "</", "a", "b ", "=", '"', "'", " = ", "<p", "<a href='x>'", '<i t="', "<!--", "-->", "<!", "<?", "<script>", "</script >", "<Style", "1 < 2", "</p>", "/", "<br/>", "é", "< p>"]
+    for _ in range(3000):
+        page = "".join(draw.choice(parts, draw.integers(1, 14)))
+        assert list(html_extract.segments(page)) == list(brute_segments(page)), page
+
+
 def test_extraction_defined_cases(spark):
     pages = [(1, None), (2, ""), (3, "<div><a>x</a></div>"), (4, "<b " + "x" * 10), (None, "plain words only"), (5, "<p>" + "long words " * 200_000 + "</p>"), (6, "<script>never words"), (6, "<script>never words")]
     df = spark.createDataFrame(pages, "page_id bigint, html string").withColumn("content", F.lit(1))
@@ -471,6 +560,38 @@ def test_presence_is_the_set_of_grams():
     assert langid.presence(kernels.Slab(["abab"])).sum() == len({"a", "b", "ab", "ba", "aba", "bab"})
 
 
+def test_scores_are_those_of_dense_algebra(monkeypatch):
+    """Kernels from sets of n-grams, and the ridge solved in the landmarks' coefficients instead of Nyström features."""
+    monkeypatch.setattr(langid, "DIMENSIONS", 1 << 18)
+    rng = np.random.default_rng(4)
+    alphabet = {"a": "abcde ", "b": "cdefg ", "c": "efghi "}
+    texts, langs = zip(*(("".join(rng.choice(list(alphabet[k]), 30)) + k, k) for _ in range(8) for k in alphabet), strict=True)
+    sets = []
+    for t in texts:
+        s = " ".join(words(t))
+        sets.append({s[i : i + n] for n in (1, 2, 3) for i in range(len(s) - n + 1)} - {" "})
+    places = langid.presence(kernels.Slab(list(texts)))
+    assert [int(r.sum()) for r in places] == [len(s) for s in sets]  # no two of these n-grams share a place
+    k = np.array([[len(a & b) / (len(a) * len(b)) ** 0.5 for b in sets] for a in sets])
+    model = langid.fit(list(texts), list(langs))
+    n = len(texts)  # fewer than LANDMARKS, so each text is one
+    kb, y = np.hstack([k, np.ones((n, 1))]), np.where(np.array(langs)[:, None] == np.array(sorted(alphabet)), 1.0, -1.0)
+    penalty = np.zeros((n + 1, n + 1))
+    penalty[:n, :n] = langid.RIDGE * n / n * k
+    penalty[-1, -1] = 1e-9
+    solved = np.linalg.lstsq(kb.T @ kb + penalty, kb.T @ y, rcond=None)[0]
+    assert np.allclose(model.scores(places), kb @ solved, atol=2e-3)
+
+
+def test_every_language_has_a_landmark(monkeypatch):
+    monkeypatch.setattr(langid, "LANDMARKS", 2)
+    texts = {lang: " ".join(f"{a}{b}" for a in lang for b in lang[::-1]) for lang in ("abc", "def", "ghi", "jkl", "mno")}
+    model = langid.fit([t for t in texts.values() for _ in range(3)], [x for x in texts for _ in range(3)])
+    assert len(model.landmarks) == 5
+    got = model.scores(langid.presence(kernels.Slab(list(texts.values())))).argmax(axis=1)
+    assert [model.languages[k] for k in got] == list(texts)
+
+
 def test_held_out_languages(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet").where("n_chars >= 200")
     model = langid.fit_model(d.where("doc_id % 2 = 0"))
@@ -523,3 +644,56 @@ def test_lasso_leaves_out_noise():
     assert all(2 in {k for k, _, _ in rule} for rule, w in zip(model.rules, model.weights, strict=True) if abs(w) > 0.5)
     assert len(model.rules) < len(rule_ensemble.tree_rules(x, (x[:, 2] > 0.6).astype(float))) / 2
     assert ((model.probability(x) >= 0.5) == (x[:, 2] > 0.6)).mean() > 0.97
+
+
+def brute_statistics(text):
+    text = text or ""
+    n, parts = len(text), re.findall(r"\S+", text)
+    kind = lambda test: sum(map(test, text)) / max(n, 1)
+    category = unicodedata.category
+    shorts = sum(len(w) <= 3 and all(category(c)[0] == "L" for c in w) for w in re.split(r"[ \t\n\x0b\f\r]+", text) if w)
+    symbol = lambda c: category(c)[0] not in "LN" and c not in " \t\n\x0b\f\r.,;:!?'\"()-"
+    return [n, len(parts), n / max(len(parts), 1), kind(lambda c: category(c) == "Lu"), kind(lambda c: category(c)[0] == "N"), kind(lambda c: c in "!?"), kind(lambda c: c in ".,;:"), kind(symbol), text.count("\n") / max(n, 1), shorts / max(len(parts), 1)]
+
+
+def test_statistics(spark):
+    texts = ["", None, "A be SEE! down, 12 ①.\nx; (y) #€ é", "one one two", "Ünï ça 中文 - a" * 50]
+    stats = rule_ensemble.statistics(F.col("t"))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(*(c.alias(n) for n, c in stats.items())).collect()
+    assert np.allclose([tuple(r)[:10] for r in got], [brute_statistics(t) for t in texts])
+    assert got[3]["repeats"] == 1 / 3
+
+
+def test_a_tree_splits_where_brute_force_does():
+    rng = np.random.default_rng(3)
+    x, g = rng.integers(0, 6, (60, 3)).astype(float), rng.normal(size=60)
+    cuts = [np.unique(x[:, k]) for k in range(3)]
+    best = None
+    for k in range(3):
+        for c in cuts[k]:
+            above = x[:, k] > c
+            if 5 <= above.sum() <= 55:
+                error = sum(((g[s] - g[s].mean()) ** 2).sum() for s in (above, ~above))
+                if best is None or error < best[0] - 1e-9:
+                    best = error, k, c
+    gain, k, c = rule_ensemble._split(x, g, cuts)
+    assert (k, c) == best[1:] and abs(((g - g.mean()) ** 2).sum() - best[0] - gain) < 1e-9
+
+
+def test_lasso_meets_its_conditions():
+    """At the optimum the gradient is -penalty * sign(w) where w isn't 0, within the penalty elsewhere, and 0 for the intercept."""
+    rng = np.random.default_rng(6)
+    r = (rng.random((200, 8)) > 0.5).astype(float)
+    y = (r[:, 0] + 0.3 * rng.normal(size=200) > 0.5).astype(float)
+    w, b = rule_ensemble.lasso_logistic(r, y, 0.01, rounds=5000)
+    e = (1 / (1 + np.exp(-(r @ w + b))) - y) / len(y)
+    slope = r.T @ e
+    assert abs(e.sum()) < 1e-5 and np.all(np.abs(slope) <= 0.01 + 1e-5)
+    assert np.allclose(slope[w != 0], -0.01 * np.sign(w[w != 0]), atol=1e-5) and 0 < (w != 0).sum() < 8
+
+
+def test_a_doc_id_of_several_texts_fits_one_model(spark):
+    rows = [(k % 40, prose(k, 5 + k % 7), "en", "a", 0) for k in range(120)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id bigint, quality int")
+    one, other = (rule_ensemble.fit_ensemble(spark.createDataFrame(x, DOCS).repartition(p), labels) for x, p in ((rows, 1), (rows[::-1], 3)))
+    assert one == other

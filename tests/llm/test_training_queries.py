@@ -1,9 +1,12 @@
 """The registered queries and the pipeline over the small tables, against SQL where there is one."""
 
+import os
 import sys
+from collections import Counter
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
@@ -37,3 +40,23 @@ def test_stages_of_nothing(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf).collect() == []
+
+
+def test_stages_of_odd_rows(spark):
+    """Nulls in any column, repeated rows and clashing names pass every stage; each keeps a part of its input with its columns."""
+    text = " ".join(f"w{k * 7 % 50}" for k in range(90))
+    rows = [(k % 9, [None, "", "one", text, f"{text} tail", text.upper()][k % 6], [None, "en", "xx"][k % 3], [None, "src0", "s"][k % 3], None) for k in range(40)]
+    rows += [(None, None, None, None, None), (None, text, None, None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    clash = ("verdict", "_gone", "slot", "shard", "map_version", "key", "finish", "node")
+    docs = docs.select("*", *(F.lit(f"own {c}").alias(c) for c in clash))
+    columns = docs.columns
+    sf = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    for name, stage in corpus_pipeline.STAGES:
+        before = Counter(map(tuple, docs.select(*columns[:5]).collect()))
+        docs = spark.createDataFrame((out := stage(spark, docs, sf)).collect(), out.schema)
+        after = Counter(map(tuple, docs.select(*columns[:5]).collect()))
+        assert not after - before and after, name
+        assert docs.columns == columns or name == "sharding" and set(docs.columns) == set(columns)
+        assert {r["_gone"] for r in docs.select("_gone").collect()} == {"own _gone"}
+    assert {r["map_version"] for r in docs.collect()} == {2}
