@@ -1,7 +1,8 @@
 """Cleans, deduplicates, decontaminates, mixes and shards the documents; each stage is one operator.
 
 Every stage takes all that its predecessor kept. Those that filter keep the columns of the documents
-as they are; the last adds the slot, the shard and the version of the slot map.
+as they are; the last adds the slot, the shard and the version of the slot map. Nulls, repeated rows,
+ties and clashing names are treated as each operator states.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from quillstone.llm import decontaminate, mixing, ngram_join, oracle, quality_ru
 from quillstone.llm.queries import BUDGET, WEIGHTS
 from quillstone.session import ready, remove, shared_folder, table
 
+SLOT_MAP = "spark.quillstone.slotMap"
+
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose histograms diverge from their language's go."""
@@ -40,9 +43,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its slot and shard."""
+    """Every document with its slot and shard, by the map kept in the folder of the setting ``SLOT_MAP``, or else by a new one."""
     ready(spark)
-    return sharding.shard_documents(docs)
+    return sharding.shard_documents(docs, folder=spark.conf.get(SLOT_MAP, None))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -63,7 +66,10 @@ SELECT s4.*, s5.slot, CAST(s5.shard AS INT) AS shard, 2 AS map_version FROM s4 J
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what a stage returns is written to the shared folder, and the next one reads that."""
+    """All stages over the documents; what a stage returns is written to the shared folder, and the next one reads that.
+
+    A folder goes when its successor is written; the last one stays, since the result is read from it.
+    """
     docs = table(ready(spark), sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
