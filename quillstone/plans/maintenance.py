@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scoring import effective_confidence, moment
 from ..operators import consolidate, lifecycle
 from ..operators.lifecycle import strongest
 from ..session import checkpoint
@@ -53,9 +54,49 @@ def dream(props: DataFrame, passes: dict[str, Callable[[DataFrame], DataFrame]])
     return Cycle(saves, snapshot.agg(F.count("*").alias("examined")).crossJoin(counted), failed)
 
 
-def maintain(props: DataFrame, session: DataFrame, as_of: str, retire_below: float = 0.05) -> dict[str, DataFrame]:
-    """Consolidate the session, abstract, retire faded rows (pinned ones, too) for good, then collect."""
-    kept = consolidate.consolidate(session, props.where("status = 'ACTIVE'"))
-    gone = props.where(lifecycle.effective_confidence(as_of) < retire_below).select("id")
-    rest = props.join(gone, "id", "left_anti")
-    return {"consolidated": kept, "abstractions": consolidate.abstractions(rest), "retired": gone, "collected": lifecycle.collect(rest, lifecycle.decay_marks(rest, as_of))}
+@dataclass
+class Maintenance:
+    """The rows after a cycle, and what each stage did; None for a stage that wasn't asked for."""
+
+    rows: DataFrame
+    consolidated: DataFrame | None = None
+    abstractions: DataFrame | None = None
+    superseded: DataFrame | None = None
+    retired: DataFrame | None = None
+    collected: DataFrame | None = None
+
+
+def _saved(props: DataFrame, session: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows with promoted session rows, and reinforced or merged ones' confidence; of several changes to a row a merge stands, then the greatest confidence."""
+    promoted = session.join(kept.where("action = 'PROMOTED'").select("id"), "id", "left_semi").withColumn("status", F.lit("ACTIVE"))
+    changed = kept.where("action IN ('REINFORCED', 'MERGED')").groupBy(F.col("match_id").alias("id")).agg(F.min(F.struct("action", (-F.col("confidence")).alias("c"))).alias("_b"))
+    after = props.join(promoted.select("id"), "id", "left_anti").join(changed, "id", "left").withColumn("confidence", F.coalesce(-F.col("_b.c"), "confidence")).drop("_b")
+    return after.unionByName(promoted, allowMissingColumns=True)
+
+
+def maintain(props: DataFrame, as_of: str, session: DataFrame | None = None, abstract: Callable[[Column], Column] | None = None, least: int = 3, retire_below: float | None = None, decay_k: float = 2.0, collect: bool = False) -> Maintenance:
+    """Consolidates a session into the active rows, abstracts groups of level 0, retires faded rows for good (pinned ones, too), and collects.
+
+    Each stage is left out unless asked for, and works on what the one before left. Sources of an abstraction are SUPERSEDED.
+    """
+    active = lambda rows: rows.where("status = 'ACTIVE'")
+    out = Maintenance(props)
+    if session is not None:
+        out.consolidated = checkpoint(consolidate.consolidate(session, active(out.rows)))
+        out.rows = checkpoint(_saved(out.rows, session, out.consolidated))
+    if abstract is not None:
+        ground = active(out.rows).where("level = 0")
+        out.abstractions = checkpoint(consolidate.abstractions(ground, least, abstract))
+        out.superseded = checkpoint(consolidate.entity_groups(ground, least).select(F.explode("members").alias("id")).distinct())
+        now = moment(as_of)
+        fresh = out.abstractions.select("id", "text", "context_id", "level", "decay", "confidence", F.lit("ACTIVE").alias("status"), F.lit(False).alias("pinned"), now.alias("created"), now.alias("content_revised"), now.alias("metadata_revised"))
+        gone = out.superseded.withColumn("_gone", F.lit(True))
+        rows = out.rows.join(gone, "id", "left").withColumn("status", F.when(F.col("_gone"), "SUPERSEDED").otherwise(F.col("status"))).drop("_gone")
+        out.rows = checkpoint(rows.unionByName(fresh, allowMissingColumns=True))
+    if retire_below is not None:
+        out.retired = checkpoint(active(out.rows).where(effective_confidence(as_of, decay_k) < retire_below).select("id"))
+        out.rows = out.rows.join(out.retired, "id", "left_anti")
+    if collect:
+        out.collected = checkpoint(lifecycle.collect(out.rows, lifecycle.decay_marks(active(out.rows), as_of)))
+        out.rows = lifecycle.apply_collection(out.rows, out.collected)
+    return out

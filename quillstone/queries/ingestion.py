@@ -64,12 +64,12 @@ def s29(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slice_text(turns(spark, sf_dir), 1, 3)
 
 
-@query("i09_extracted_statements")
+@query("i09_extracted_statements", sql(r"SELECT source_id, CAST(place - 1 AS INT) AS place, sha256(source_id || '#' || (place - 1) || '#' || statement) AS id FROM (SELECT source_id, unnest(s) AS statement, generate_subscripts(s, 1) AS place FROM (SELECT source_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), '\n+', chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM artifacts))", "artifacts"))
 def i09(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.extract(artifacts(spark, sf_dir)).select("source_id", "place", "id")
 
 
-@query("s30_chunked_files")
+@query("s30_chunked_files", sql("SELECT source_id, CAST(nth AS INT) AS nth, CAST(nth * 900 AS INT) AS start, substr(text, nth * 900 + 1, 1000) AS chunk, sha256(substr(text, nth * 900 + 1, 1000)) AS content_hash FROM (SELECT source_id, text, unnest(range(greatest(1, CAST(ceil((length(text) - 100) / 900) AS BIGINT)))) AS nth FROM artifacts)", "artifacts"))
 def s30(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.chunks import chunk
 
@@ -92,7 +92,7 @@ def t12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("source_id", compressed(F.col("text"), F.try_element_at(F.split("text", " "), F.lit(2))).alias("context"))
 
 
-@query("s32_object_graph")
+@query("s32_object_graph", sql("SELECT 's' || node AS id, CAST(max(h) AS INT) AS level, CAST((SELECT count(*) FROM supplier WHERE s_suppkey > 0 AND s_suppkey // 2 = node) AS INT) AS n_children FROM up GROUP BY node", recursive=True, up="SELECT s_suppkey AS node, 0 AS h FROM supplier UNION SELECT node // 2, h + 1 FROM up WHERE node > 0"))
 def s32(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.object_graph import build
     from ..session import table

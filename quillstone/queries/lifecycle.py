@@ -151,3 +151,29 @@ def l29(spark: SparkSession, sf_dir: str) -> DataFrame:
         "decay": lambda rows: lifecycle.decay_sweep(rows, AS_OF).where("sweep = 'TRANSITIONED'").select("id", F.col("new_status").alias("status")),
     }
     return maintenance.dream(p, passes).report.select("examined", "transitioned")
+
+
+@query("l29_due_contexts", sql("SELECT context_id, count(*) AS n FROM props WHERE status = 'ACTIVE' GROUP BY 1 HAVING count(*) - coalesce(max(CASE WHEN context_id IN ('ctx-1', 'ctx-2') THEN (SELECT count(*) FROM props q WHERE q.status = 'ACTIVE' AND q.context_id = 'ctx-1') - 5 END), 0) >= 10", "props"))
+def l29b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two contexts had their last cycle at five fewer rows than one of them has now."""
+    p = propositions(spark, sf_dir)
+    n = maintenance.due(p, least=1).where("context_id = 'ctx-1'").select((F.col("n") - 5).alias("n"))
+    last = spark.createDataFrame([("ctx-1",), ("ctx-2",)], "context_id string").crossJoin(F.broadcast(n))  # two rows
+    return maintenance.due(p, last)
+
+
+@query("l30_maintenance")
+def l30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, with every fourth event as the session."""
+    p = propositions(spark, sf_dir)
+    new = "event_id % 4 = 0"
+    return maintenance.maintain(p.where(f"NOT ({new})"), AS_OF, p.where(new), consolidate.join_texts, 3, 0.05, collect=True).rows.select("id", "status", "level", F.round("confidence", 6).alias("confidence"))
+
+
+@query("l11_default_relations", sql("SELECT 'o' || l_orderkey AS id, arg_min('p' || l_partkey, (rank, -score, 'p' || l_partkey)) AS best, ['MERGED', 'CONTRADICTED', 'GENERALIZED', 'REINFORCED', 'NEW'][min(rank) + 1] AS action FROM (SELECT *, l_quantity / 50 AS score, CASE WHEN l_quantity / 50 >= 0.9 THEN 0 WHEN l_quantity / 50 >= 0.7 THEN 3 ELSE 4 END AS rank FROM lineitem) GROUP BY l_orderkey").replace("arg_min('p' || l_partkey, (rank, -score, 'p' || l_partkey)) AS best", "CASE WHEN min(rank) < 4 THEN arg_min('p' || l_partkey, (rank, -score, 'p' || l_partkey)) END AS match_id"))
+def l11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations by bands of similarity, where no language model judges."""
+    from ..session import table
+
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    return revise.classified(table(spark, sf_dir, "lineitem").select(name("o", "l_orderkey").alias("id"), name("p", "l_partkey").alias("match_id"), (F.col("l_quantity") / 50).alias("score")))
