@@ -1,7 +1,7 @@
 """Vector search: top-k, filtered top-k, similar pairs, clusters.
 
-Pairs are found exactly by blocked matrix products. The vectors of a context are dealt into blocks of
-a fixed size; every pair of blocks is a task that multiplies two matrices. A vector is shuffled once
+Pairs are found exactly by blocked matrix products. The vectors of a context are dealt by hash into
+blocks of about one size; every pair of blocks is a task that multiplies two matrices. A vector is shuffled once
 for each block of its own context, so the work is the square of a context, not of the table.
 """
 
@@ -52,10 +52,9 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> D
     """(id_a < id_b, score) of all pairs of a context with a cosine of at least the threshold. Vectors of null are left out."""
     ready(vectors.sparkSession)
     rows = vectors.where("embedding IS NOT NULL").select("context_id", "id", "embedding")
-    place = Window.partitionBy("context_id").orderBy("id")
-    rows = rows.withColumn("blk", F.floor((F.row_number().over(place) - 1) / block).cast("int"))
-    count = rows.groupBy("context_id").agg((F.max("blk") + 1).alias("blocks"))
-    spread = rows.join(count, "context_id").select("context_id", "id", "embedding", "blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    count = rows.groupBy("context_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = rows.join(count, "context_id").withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    spread = rows.select("context_id", "id", "embedding", "blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     tiles = spread.select("context_id", "id", "embedding", F.least("blk", "with").alias("i"), F.greatest("blk", "with").alias("j"), F.when(F.col("blk") <= F.col("with"), 0).otherwise(1).alias("side"))
 
     def tile(g: pd.DataFrame) -> pd.DataFrame:

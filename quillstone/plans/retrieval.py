@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -10,6 +10,7 @@ from ..functions.scoring import effective_confidence, last_touched, moment, reca
 from ..operators import graph
 from ..operators.query import QuerySpec, query
 from ..operators.vectors import top_k
+from ..session import checkpoint
 
 FUSION = 60
 BASE_CONFIDENCE = 0.5
@@ -63,11 +64,17 @@ def fuse(ranked: list[DataFrame], k: int) -> DataFrame:
     return out.groupBy("id").agg(F.sum("s").alias("score")).orderBy(F.desc("score"), "id").limit(k)
 
 
-def keyword_ranks(props: DataFrame, words: list[str]) -> DataFrame:
-    """(id, rank) of rows with a keyword, by hits, then confidence."""
-    hits = text.keyword_hits(F.array(*[F.lit(w) for w in words]), F.col("text"))
-    rows = props.withColumn("_hits", hits).where("_hits > 0")
-    return rows.select("id", "context_id", F.row_number().over(Window.partitionBy("context_id").orderBy(F.desc("_hits"), F.desc("confidence"), "id")).alias("rank")).drop("context_id")
+def _ranked(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """(id, rank) from 1 in that order, of rows that a limit keeps few."""
+    return rows.select("id", F.row_number().over(Window.orderBy(*order)).alias("rank"))
+
+
+def keyword_ranks(props: DataFrame, words: list[str], as_of: str, k: int, pool: int = 10) -> DataFrame:
+    """(id, rank) of the k rows with the most keywords, of the ``pool`` times k rows of the greatest effective confidence, which breaks ties, too."""
+    best = query(props, QuerySpec(order_by="effective_confidence", as_of=as_of, limit=pool * k))
+    hits = best.select("id", text.keyword_hits(F.array(*[F.lit(w) for w in words]).cast("array<string>"), F.col("text")).alias("_hits"), effective_confidence(as_of).alias("_eff"))
+    order = (F.desc("_hits"), F.desc("_eff"), F.asc("id"))
+    return _ranked(hits.where("_hits > 0").orderBy(*order).limit(k), *order)
 
 
 def base_query(context_id: str, as_of: str, **narrow: object) -> QuerySpec:
@@ -75,19 +82,20 @@ def base_query(context_id: str, as_of: str, **narrow: object) -> QuerySpec:
 
 
 def memory_search(props: DataFrame, context_id: str, hits: DataFrame, words: list[str], as_of: str, k: int, eager: DataFrame | None = None, seeds: int = 4) -> DataFrame:
-    """(id, score): vector hits (id, rank), keyword hits and, where those give fewer than k, rows about the first hits' entities, fused; without eager ids."""
+    """(id, score): the first k vector hits (id, rank), k keyword hits and, where those give fewer than k, 3k rows about the first hits' entities, fused; without eager ids."""
     rows = query(props, base_query(context_id, as_of))
-    keyword = keyword_ranks(rows, words)
-    lists = [hits.join(rows.select("id"), "id", "left_semi"), keyword]
+    near = hits.join(rows.select("id"), "id", "left_semi").withColumnRenamed("rank", "_rank").orderBy("_rank", "id").limit(k)
+    keyword = checkpoint(keyword_ranks(rows, words, as_of, k))
+    lists = [checkpoint(_ranked(near, "_rank", "id")), keyword]
     fresh = lists[0].select("id").unionByName(keyword.select("id")).distinct()
     if eager is not None:
         fresh = fresh.join(eager.select("id"), "id", "left_anti")
-    if fresh.limit(k).count() < k:
-        first = rows.join(lists[0], "id").select("rank", F.posexplode("mentions").alias("pos", "m")).where("m.resolved_id IS NOT NULL")
+    if fresh.count() < k:  # of 2k rows at most
+        first = rows.join(F.broadcast(lists[0].unionByName(keyword.withColumn("rank", F.col("rank") + k))), "id").select("rank", F.posexplode("mentions").alias("pos", "m")).where("m.resolved_id IS NOT NULL")
         ids = [r[0] for r in first.groupBy("m.resolved_id").agg(F.min(F.struct("rank", "pos")).alias("at")).orderBy("at", "resolved_id").limit(seeds).collect()]
         if ids:
-            about = query(rows, QuerySpec(any_entities=tuple(ids)))
-            lists.append(about.select("id", F.row_number().over(Window.partitionBy("context_id").orderBy(effective_confidence(as_of).desc(), "id")).alias("rank")))
+            about = query(rows, QuerySpec(any_entities=tuple(ids), order_by="effective_confidence", as_of=as_of, limit=3 * k))
+            lists.append(_ranked(about, effective_confidence(as_of).desc(), "id"))
     if eager is not None:
         lists = [x.join(eager.select("id"), "id", "left_anti") for x in lists]
     return fuse(lists, k)

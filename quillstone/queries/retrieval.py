@@ -62,7 +62,7 @@ _BASE = "SELECT * FROM props WHERE context_id = 'ctx-6' AND status = 'ACTIVE' AN
 _KEYS = "len(list_filter(['purchase', 'error', 'user 1'], lambda w: contains(lower(text), w)))"
 
 
-@query("r07_w04_memory_search", sql("SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT h.id, h.rank FROM hits h JOIN base USING (id) UNION ALL SELECT id, row_number() OVER (ORDER BY hits DESC, confidence DESC, id) FROM (SELECT id, confidence, " + _KEYS + " AS hits FROM base) WHERE hits > 0) WHERE id NOT IN (SELECT id FROM props WHERE pinned) GROUP BY id ORDER BY score DESC, id LIMIT 10", "props", base=_BASE, hits="SELECT id, row_number() OVER (ORDER BY importance DESC, id) AS rank FROM props WHERE context_id = 'ctx-6' AND importance > 0.85"))
+@query("r07_w04_memory_search", sql("SELECT id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT * FROM near WHERE rank <= 10 UNION ALL SELECT * FROM keyed WHERE rank <= 10 UNION ALL SELECT * FROM related) WHERE id NOT IN (SELECT id FROM props WHERE pinned) GROUP BY id ORDER BY score DESC, id LIMIT 10", "props", "mentions", base=_BASE, near="SELECT id, row_number() OVER (ORDER BY importance DESC, id) AS rank FROM base WHERE importance > 0.85", pool="SELECT id, eff, " + _KEYS + " AS hits FROM base ORDER BY eff DESC, id LIMIT 100", keyed="SELECT id, row_number() OVER (ORDER BY hits DESC, eff DESC, id) AS rank FROM pool WHERE hits > 0", seq="SELECT id, rank AS r FROM near WHERE rank <= 10 UNION ALL SELECT id, rank + 10 FROM keyed WHERE rank <= 10", seeds="SELECT resolved_id FROM seq JOIN mentions ON proposition_id = id WHERE resolved_id IS NOT NULL GROUP BY resolved_id ORDER BY min((r, pos)), resolved_id LIMIT 4", related="SELECT id, row_number() OVER (ORDER BY eff DESC, id) AS rank FROM (SELECT DISTINCT id, eff FROM base JOIN mentions ON proposition_id = id WHERE resolved_id IN (SELECT resolved_id FROM seeds) ORDER BY eff DESC, id LIMIT 30) WHERE (SELECT count(DISTINCT id) FROM seq WHERE id NOT IN (SELECT id FROM props WHERE pinned)) < 10"))
 def r07(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = propositions(spark, sf_dir)
     hits = p.where("context_id = 'ctx-6' AND importance > 0.85").select("id", F.row_number().over(Window.partitionBy("context_id").orderBy(F.desc("importance"), "id")).alias("rank"))

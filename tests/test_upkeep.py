@@ -214,3 +214,11 @@ def test_a_path_needs_all_of_its_steps_in_the_context(store, spark):
     p = store(proposition("a", "x"), proposition("b", "y"), proposition("z", "z", context="d"))
     paths = spark.createDataFrame([("p", ["a", "b"]), ("q", ["a", "z"]), ("r", []), ("s", ["gone"])], "path_id string, via array<string>")
     assert sorted(r["path_id"] for r in graph.paths_in_context(paths, p, "c").collect()) == ["p", "r"]
+
+
+def test_thin_results_are_widened_by_entities(store, spark):
+    p = store(*[proposition(f"a{k}", f"about {k}", 0.9 - k / 100, entities=(f"e{k % 2}",)) for k in range(8)], proposition("z", "other", entities=("f",)))
+    hits = spark.createDataFrame([("a0", 1)], "id string, rank int")
+    got = {r["id"]: r["score"] for r in retrieval.memory_search(p, "c", hits, ["about 2"], AT, 3).collect()}
+    assert set(got) == {"a0", "a2", "a4"} and abs(got["a0"] - 2 / 61) < 1e-12 and abs(got["a2"] - 1 / 61 - 1 / 62) < 1e-12
+    assert {r["id"] for r in retrieval.memory_search(p, "c", hits.limit(0), [], AT, 3).collect()} == set()
