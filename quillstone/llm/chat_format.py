@@ -9,7 +9,8 @@ Defined results
     null text: empty content. null role: ``unknown``. null turn: before all others.
     null conv_id: one conversation of all such rows. Ties (a turn that repeats): by role, then text;
     repeated rows: repeated turns. Very long contents are copied whole. Empty table: no row.
-    Other columns are ignored. Markers inside a content are copied as they are.
+    Other columns are ignored. Markers inside a content are copied as they are. A conversation is one
+    row, which Spark bounds by 2 GiB: a longer one fails.
 """
 
 from __future__ import annotations
