@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VAGUE = ("this", "that", "these", "those", "the", "an", "a")
@@ -53,3 +54,16 @@ def whole_text(span: Column, text: Column, least: int = 50) -> Column:
 def composite(*reasons: Column) -> Column:
     """Whether every filter lets the mention pass; without filters all do."""
     return reduce(lambda a, b: a & b, [r.isNull() for r in reasons], F.lit(True))
+
+
+def by_schema(kind: Column, span: Column, schema: dict[str, tuple[Callable[[Column], Column], ...]]) -> Column:
+    """The first reason that the rules of the mention's type give, types in any case; a type without rules, or a null one, passes."""
+    out = F.lit(None).cast("string")
+    for name, own in schema.items():
+        out = F.when(F.lower(kind) == name.lower(), all_of(F.lit(None).cast("string"), *[rule(span) for rule in own])).otherwise(out)
+    return out
+
+
+def counts(mentions: DataFrame, reason: Column) -> DataFrame:
+    """(type, outcome, n): accepted and rejected mentions of each type."""
+    return mentions.groupBy("type", F.when(reason.isNull(), "accepted").otherwise("rejected").alias("outcome")).agg(F.count("*").alias("n"))

@@ -11,6 +11,8 @@ from ..functions.text import fact_predicate, relationship_type
 from ..schema import EDGE_GROUNDED_IN, EDGE_HAS_ENTITY, EDGE_HAS_PROPOSITION, EDGE_MENTIONS, TIERS
 
 STRICT, LENIENT = 0.85, 0.7
+#: Relations that become one expression, and that are sent to the tasks at all.
+INLINE, SENT = 200, 20_000
 
 
 def mention_of(role: str) -> Column:
@@ -25,11 +27,20 @@ def fully_resolved() -> Column:
 def with_relation(props: DataFrame, relations: DataFrame, name: str = "relation", case_sensitive: bool = False) -> DataFrame:
     """The first relation, by ``ord``, whose predicate the text contains, as a struct; null without one.
 
-    The relations are a small list, kept in an array literal, so every text is looked at where it lies.
+    Up to ``INLINE`` relations are one expression, so every text is looked at where it lies. More are
+    sent to all tasks as a table, up to ``SENT``; beyond that it is an error, since a text would have to
+    be searched for each of them.
     """
-    rows = [tuple(r) for r in relations.orderBy("ord").collect()]
+    rows = [tuple(r) for r in relations.orderBy("ord").limit(SENT + 1).collect()]
+    if len(rows) > SENT:
+        raise ValueError(f"more than {SENT} relations")
     fields = relations.schema
     low = (lambda c: c) if case_sensitive else F.lower
+    if len(rows) > INLINE:
+        texts = props.select("text").distinct()
+        each = F.broadcast(relations.select(F.struct(*fields.fieldNames()).alias("_r")))
+        met = texts.join(each, low(F.col("text")).contains(low(F.col("_r.predicate")))).groupBy("text").agg(F.min_by("_r", "_r.ord").alias(name))
+        return props.join(met, "text", "left").select(*props.columns, name)
     value = F.lit(None).cast(fields)
     for r in reversed(rows):
         one = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(r, fields, strict=True)])

@@ -99,8 +99,11 @@ def safe_time(value: Column) -> Column:
 
 def unclaimed(artifacts: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """The first artifact of each content hash that the ledger doesn't have yet is claimed, all others are duplicates."""
-    first = Window.partitionBy("content_hash").orderBy("source_id")
-    ranked = artifacts.withColumn("_nth", F.row_number().over(first))
+    # The smallest source of a hash is aggregated and joined back, so that a text which most sources have is no window.
+    first = artifacts.groupBy(F.col("content_hash").alias("_hash")).agg(F.min("source_id").alias("_first"))
+    ranked = artifacts.join(first, F.col("content_hash").eqNullSafe(F.col("_hash")))
+    again = F.row_number().over(Window.partitionBy("content_hash", "source_id").orderBy(F.lit(0)))
+    ranked = ranked.withColumn("_nth", F.when(F.col("source_id").eqNullSafe(F.col("_first")), again).otherwise(2)).drop("_hash", "_first")
     known = F.lit(False)
     if ledger is not None:
         ranked = ranked.join(ledger.select("content_hash").distinct().withColumn("_known", F.lit(True)), "content_hash", "left")

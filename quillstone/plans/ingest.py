@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import resolve
+from ..operators.numbering import numbered
 from ..session import checkpoint, ready
 
 WINDOW, OVERLAP, TRIGGER = 20, 2, 4
@@ -30,14 +31,13 @@ def windows(items: DataFrame, source: str, place: str, text: Column, window: int
     if not 0 <= overlap < window:
         raise ValueError("overlap must be less than window")
     step = window - overlap
-    nth = Window.partitionBy(source).orderBy(place)
-    numbered = items.select(source, text.alias("_text"), (F.row_number().over(nth) - 1).alias("_i"), F.count("*").over(Window.partitionBy(source)).alias("_n"))
+    rows = numbered(items.select(source, F.col(place).alias("_place"), text.alias("_text")), source, "_place")
     if not flush:
-        numbered = numbered.where(F.col("_n") >= trigger)
+        rows = rows.where(F.col("_n") >= trigger)
     # Window w covers [w * step, w * step + window); the last one is the first that reaches the end.
     last = F.greatest(F.lit(0), F.ceil((F.col("_n") - window) / F.lit(step)))
     first_of = F.greatest(F.lit(0), F.ceil((F.col("_i") - window + 1) / F.lit(step)))
-    own = numbered.select("*", F.explode(F.sequence(first_of, F.least(F.floor(F.col("_i") / step), last))).alias("_w"))
+    own = rows.select("*", F.explode(F.sequence(first_of, F.least(F.floor(F.col("_i") / step), last))).alias("_w"))
     grouped = own.groupBy(source, "_w").agg(F.min("_i").alias("start"), (F.max("_i") + 1).alias("end"), F.sort_array(F.collect_list(F.struct("_i", "_text"))).alias("parts"))
     body = F.array_join("parts._text", "\n\n")
     return grouped.select(source, "start", "end", body.alias("text"), F.sha2(body, 256).alias("content_hash"))

@@ -158,9 +158,9 @@ def x02(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project.project_edges(propositions(spark, sf_dir), relations(spark)).select("id", "outcome", "reason", "source_id", "target_id", "type")
 
 
-@query("x01_policies", sql("SELECT id, CASE WHEN confidence < 0.85 THEN 'confidence below 0.85' WHEN event_id % 13 = 0 THEN 'a mention is not resolved' END AS strict FROM props", "props"))
+@query("x01_policies", sql("SELECT id, CASE WHEN confidence < 0.85 THEN 'confidence below 0.85' WHEN event_id % 13 = 0 THEN 'a mention is not resolved' END AS strict, CASE WHEN confidence < 0.7 THEN 'confidence below 0.7' WHEN event_id % 13 = 0 THEN 'subject or object not resolved' END AS lenient, NULL::VARCHAR AS always FROM props", "props"))
 def x01(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return propositions(spark, sf_dir).select("id", project.policy_reason("strict").alias("strict"))
+    return propositions(spark, sf_dir).select("id", *[project.policy_reason(k).alias(k) for k in ("strict", "lenient", "always")])
 
 
 @query("x05_merged_edges", sql("SELECT source_id, target_id, type, round(max(confidence), 6) AS confidence, count(*) AS n FROM projected WHERE outcome = 'PROJECTED' GROUP BY ALL", "props", "tiers", projected=_PROJECTED))

@@ -146,13 +146,11 @@ def v01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("proposition_id", "pos", rules.all_of(rules.not_blank(s), rules.not_vague(s), rules.length_between(s, 6, 9)).alias("reason"), rules.any_of(rules.matches(s, "[a-z]+ [0-9]+"), rules.least_words(s, 3)).alias("any_reason"), rules.not_type_word(s, ("click", "user")).alias("type_word"))
 
 
-@query("v08_v11_schema_filter_counts", sql("SELECT type, outcome, count(*) AS n FROM (SELECT type, CASE WHEN type = 'Person' AND length(span) > 7 THEN 'rejected' ELSE 'accepted' END AS outcome FROM mentions) GROUP BY ALL", "mentions"))
+@query("v08_v11_schema_filter_counts", sql("SELECT type, outcome, count(*) AS n FROM (SELECT type, CASE WHEN type = 'Person' AND (length(span) > 7 OR span = 'user 5') THEN 'rejected' ELSE 'accepted' END AS outcome FROM mentions) GROUP BY ALL", "mentions"))
 def v08(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mentions of a type with a length limit; a type without a rule passes. Types match in any case."""
-    limits = spark.createDataFrame([("PERSON", 7)], "known string, most int")
-    m = exploded_mentions(propositions(spark, sf_dir)).join(F.broadcast(limits), F.upper("type") == F.col("known"), "left")
-    outcome = F.when(F.col("most").isNotNull() & rules.length_between(F.col("span"), 0, 0).isNotNull() & (F.length("span") > F.col("most")), "rejected").otherwise("accepted")
-    return m.groupBy("type", outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    """Persons of at most seven letters and not the fifth; other types have no rules."""
+    schema = {"PERSON": (lambda s: rules.length_between(s, 0, 7), lambda s: F.when(s == "user 5", "the fifth"))}
+    return rules.counts(exploded_mentions(propositions(spark, sf_dir)), rules.by_schema(F.col("type"), F.col("span"), schema))
 
 
 @query("v09_whole_text_mentions", sql("SELECT source_id, length(text) >= 50 AS rejected FROM artifacts", "artifacts"))

@@ -27,8 +27,11 @@ def embed(rows: DataFrame, model: Callable[[list[str]], np.ndarray] = hash_vecto
     ready(rows.sparkSession)
 
     def run(text: pa.Array) -> pa.Array:
-        known = [t for t in text.to_pylist() if t is not None]
-        out = iter(model(known) if known else [])
-        return pa.array([None if t is None else next(out).astype(np.float32).tolist() for t in text.to_pylist()], pa.list_(pa.float32()))
+        known = text.is_valid().to_numpy(zero_copy_only=False)
+        texts = text.drop_null().to_pylist()
+        vectors = np.ascontiguousarray(model(texts), np.float32) if texts else np.zeros((0, 0), np.float32)
+        ends = np.concatenate([[0], np.cumsum(known)]) * vectors.shape[1]
+        offsets = pa.array(ends.astype(np.int32), mask=np.concatenate([~known, [False]]))
+        return pa.ListArray.from_arrays(offsets, pa.array(vectors.reshape(-1)))
 
     return rows.withColumn("embedding", F.arrow_udf(run, "array<float>")("text"))

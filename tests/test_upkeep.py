@@ -222,3 +222,51 @@ def test_thin_results_are_widened_by_entities(store, spark):
     got = {r["id"]: r["score"] for r in retrieval.memory_search(p, "c", hits, ["about 2"], AT, 3).collect()}
     assert set(got) == {"a0", "a2", "a4"} and abs(got["a0"] - 2 / 61) < 1e-12 and abs(got["a2"] - 1 / 61 - 1 / 62) < 1e-12
     assert {r["id"] for r in retrieval.memory_search(p, "c", hits.limit(0), [], AT, 3).collect()} == set()
+
+
+def test_many_relations_are_a_table(store, spark, monkeypatch):
+    from quillstone.operators import project
+    from quillstone.schema import RELATIONS
+
+    relations = spark.createDataFrame([(k, f"Verb{k} of", "SEMANTIC", None, None, None, None, None) for k in range(9)], RELATIONS)
+    p = store(proposition("a", "ann verb3 of bob, verb1 of eve"), proposition("b", "nothing"), proposition("c", "verb8 of"), proposition("d", "verb8 of"), proposition("e", None))
+    want = {"a": 1, "b": None, "c": 8, "d": 8, "e": None}
+    got = lambda: {r["id"]: r["o"] for r in project.with_relation(p, relations).select("id", F.col("relation.ord").alias("o")).collect()}
+    assert got() == want
+    monkeypatch.setattr(project, "INLINE", 3)
+    assert got() == want
+    monkeypatch.setattr(project, "SENT", 8)
+    with pytest.raises(ValueError, match="more than 8"):
+        got()
+
+
+def test_vectors_of_null_texts_are_null(spark):
+    from quillstone.sources.embedding import embed, hash_vectors
+
+    texts = [None, "a", None, "b", ""]
+    got = [r["embedding"] for r in embed(spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string").coalesce(1)).orderBy("k").collect()]
+    assert [g is None for g in got] == [t is None for t in texts]
+    assert [round(x, 5) for x in got[3]] == [round(float(x), 5) for x in hash_vectors(["b"])[0]]
+    assert embed(spark.createDataFrame([(None,)], "text string")).first()["embedding"] is None
+
+
+def test_places_in_groups_of_any_size(spark):
+    from quillstone.operators.numbering import numbered
+
+    rows = [("hot", k * 7 % 400) for k in range(400)] + [("b", 2), ("b", None), (None, 1), (None, 0), ("c", 5)]
+    got = sorted(map(str, numbered(spark.createDataFrame(rows, "g string, o int").repartition(5), "g", "o").collect()))
+    want = []
+    for g in ("hot", "b", None, "c"):
+        own = sorted((o is not None, o or 0) for x, o in rows if x == g)
+        want += [f"Row(g={g!r}, o={o if some else None}, _n={len(own)}, _i={i})" for i, (some, o) in enumerate(own)]
+    assert got == sorted(want)
+
+
+def test_claims_of_repeated_and_null_texts(spark):
+    from quillstone.operators.store import unclaimed
+
+    rows = [(1, "a"), (2, "a"), (1, "a"), (3, None), (4, None), (None, "b"), (5, "c")]
+    got = unclaimed(spark.createDataFrame(rows, "source_id int, content_hash string"), spark.createDataFrame([("c",)], "content_hash string")).collect()
+    done = sorted((r["source_id"] or 0, r["content_hash"] or "") for r in got if r["outcome"] == "INGESTED")
+    assert done == [(1, "a"), (3, "")] or done == [(0, "b"), (1, "a"), (3, "")]
+    assert len(got) == 7
