@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
+#: The setting of a batch's size, and what it is where the session doesn't say.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables, as Parquet (a file or a folder of part files)."""
@@ -17,14 +20,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package where they see the driver's file system.
+    """Lets Python workers import this package where they see the driver's file system, and bounds their batches by bytes.
 
-    On a cluster that has no such file system, install the package or pass it by ``--py-files``.
+    Texts differ in length by orders of magnitude, so a batch of a fixed number of rows may be of any size.
+    A bound that the session has already stays. On a cluster that has no such file system, install the package or pass it by ``--py-files``.
     """
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    if spark.conf.get(BATCH, None) is None:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     return spark
 
 
