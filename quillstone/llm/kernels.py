@@ -18,7 +18,7 @@ from functools import cached_property
 
 import numpy as np
 
-SLAB_CHARS = 1 << 20
+SLAB_CHARS = 1 << 18
 _PRIME = 0x9E3779B97F4A7C15
 _U = np.uint64
 _state: dict[str, np.ndarray] = {}
