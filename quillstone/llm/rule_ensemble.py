@@ -37,6 +37,8 @@ def statistics(text: Column) -> dict[str, Column]:
     text = F.coalesce(text.cast("string"), F.lit(""))
     size = F.length(text)
     share = lambda pattern: F.regexp_count(text, F.lit(pattern)) / F.greatest(size, F.lit(1))
+    # A letter of one byte is counted by what its removal takes away, without a pattern.
+    letters = lambda own: sum((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in own), F.lit(0)) / F.greatest(size, F.lit(1))
     words = F.regexp_count(text, F.lit(r"\S+"))
     return {
         "chars": size.cast("double"),
@@ -44,10 +46,10 @@ def statistics(text: Column) -> dict[str, Column]:
         "word_length": size / F.greatest(words, F.lit(1)),
         "upper": share(r"\p{Lu}"),
         "digits": share(r"\p{N}"),
-        "shouts": share(r"[!?]"),
-        "stops": share(r"[.,;:]"),
+        "shouts": letters("!?"),
+        "stops": letters(".,;:"),
         "symbols": share(r"[^\p{L}\p{N}\s.,;:!?'\"()-]"),
-        "lines": share(r"\n"),
+        "lines": letters("\n"),
         "short_words": F.regexp_count(text, F.lit(r"(?<!\S)\p{L}{1,3}(?!\S)")) / F.greatest(words, F.lit(1)),
         "repeats": F.regexp_count(text, F.lit(r"(?<!\S)(\S+) \1(?!\S)")) / F.greatest(words, F.lit(1)),
     }
