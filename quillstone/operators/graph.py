@@ -10,6 +10,8 @@ from ..schema import TIERS
 from ..session import checkpoint
 
 MAX_DEPTH = 5
+#: Neighbours of an entity in one block, when its pairs are sought.
+HUB = 64
 
 
 def co_mentions(props: DataFrame, min_authority: str | None = None) -> DataFrame:
@@ -69,12 +71,17 @@ def path_between(edges: DataFrame, start: str, end: str, max_depth: int = MAX_DE
 def two_hop_links(edges: DataFrame) -> DataFrame:
     """(source, target, connectors, evidence): pairs with shared neighbours and no edge of their own.
 
-    The join on the shared neighbour has a hub's neighbours on both sides; adaptive execution splits both.
+    A hub's neighbours are dealt into blocks of ``HUB``, each of which meets all of them, so its pairs are
+    spread over tasks; the join keeps its partitions, since few edges make many pairs.
     """
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     direct = edges.groupBy("a", "b").agg(F.collect_set("p").alias("ps"))
-    left = direct.select(F.col("a").alias("source"), F.col("b").alias("x"), F.col("ps").alias("p1"))
-    right = direct.select(F.col("a").alias("target"), F.col("b").alias("x"), F.col("ps").alias("p2"))
-    pairs = left.join(right, "x").where("source < target").join(direct.select(F.col("a").alias("source"), F.col("b").alias("target")), ["source", "target"], "left_anti")
+    blocks = direct.groupBy(F.col("b").alias("x")).agg(F.ceil(F.count("*") / HUB).cast("int").alias("_blocks"))
+    sided = direct.withColumnRenamed("b", "x").join(blocks, "x")
+    left = sided.select(F.col("a").alias("source"), "x", F.col("ps").alias("p1"), F.pmod(F.xxhash64("a"), F.col("_blocks")).cast("int").alias("_block"))
+    right = sided.select(F.col("a").alias("target"), "x", F.col("ps").alias("p2"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("_block"))
+    keys = ["x", "_block"]
+    pairs = left.repartition(parts, *keys).join(right.repartition(parts, *keys), keys).where("source < target").join(direct.select(F.col("a").alias("source"), F.col("b").alias("target")), ["source", "target"], "left_anti")
     return pairs.groupBy("source", "target").agg(F.sort_array(F.collect_set("x")).alias("connectors"), F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.concat("p1", "p2"))))).alias("evidence"))
 
 
