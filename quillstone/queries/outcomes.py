@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..fixtures import AS_OF, entities, exploded_mentions, facts, propositions, provenance
+from ..fixtures import AS_OF, entities, exploded_mentions, facts, name_word, propositions, provenance
 from ..functions import mention_rules
 from ..operators import datalog, edits, graph, outcomes, project, records, resolve, store
 from ..plans import ingest
@@ -13,6 +13,7 @@ from ..session import table
 from .graphs import _PROJECTED, relations
 from .registry import query
 from .sql import AT, sql
+from .sql import name_word as name_word_sql
 
 _TEXT = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
 
@@ -74,17 +75,17 @@ def p04(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def analysed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Part names as mentions of orders' chunks, and the parts of three brands as known entities, some with another label."""
-    n = table(spark, sf_dir, "lineitem").select(_TEXT("chunk-", F.col("l_orderkey")).alias("chunk_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"), "l_partkey")
-    p = table(spark, sf_dir, "part")
-    m = n.join(p, n["l_partkey"] == p["p_partkey"]).select("chunk_id", "place", F.initcap("p_name").alias("span"), F.lit("Part").alias("type"))
-    known = p.groupBy("p_name").agg(F.min("p_partkey").alias("k")).where(F.col("p_name").contains(" ")).select(_TEXT("part-", F.col("k")).alias("id"), F.col("p_name").alias("name"), F.when(F.col("k") % 2 == 0, F.array(F.lit("Part"))).otherwise(F.array(F.lit("Thing"))).alias("labels"), "k")
-    return m, known.where("k % 3 <> 0").drop("k")
+    """Names of 64 kinds of parts as mentions of orders' chunks, and two of three kinds as known entities, half with another label."""
+    kind, name = F.col("l_partkey") % 64, lambda k: F.concat(name_word(k), F.lit(" "), name_word(k + 1000))
+    m = table(spark, sf_dir, "lineitem").select(_TEXT("chunk-", F.col("l_orderkey")).alias("chunk_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"), name(kind).alias("span"), F.lit("Part").alias("type"))
+    k = F.col("k")
+    known = table(spark, sf_dir, "part").select((F.col("p_partkey") % 64).alias("k")).distinct().where("k % 3 <> 0")
+    return m, known.select(_TEXT("part-", k).alias("id"), name(k).alias("name"), F.when(k % 2 == 0, F.array(F.lit("Part"))).otherwise(F.array(F.lit("Thing"))).alias("labels"))
 
 
 _CHUNKS = {
-    "m": "SELECT 'chunk-' || l_orderkey AS chunk_id, l_orderkey * 8 + l_linenumber AS place, lower(p_name) AS name FROM lineitem JOIN part ON l_partkey = p_partkey",
-    "known": "SELECT lower(p_name) AS name, min(p_partkey) AS k FROM part GROUP BY p_name HAVING p_name LIKE '% %' AND min(p_partkey) % 3 <> 0",
+    "m": f"SELECT 'chunk-' || l_orderkey AS chunk_id, l_orderkey * 8 + l_linenumber AS place, lower({name_word_sql('l_partkey % 64')} || ' ' || {name_word_sql('l_partkey % 64 + 1000')}) AS name FROM lineitem",
+    "known": f"SELECT DISTINCT lower({name_word_sql('p_partkey % 64')} || ' ' || {name_word_sql('p_partkey % 64 + 1000')}) AS name, p_partkey % 64 AS k FROM part WHERE p_partkey % 64 % 3 <> 0",
     "found": "SELECT m.*, CASE WHEN k IS NULL THEN 'NEW' WHEN k % 2 = 0 THEN 'REFERENCE' ELSE 'UPDATED' END AS kind, k FROM m LEFT JOIN known USING (name)",
 }
 
