@@ -14,10 +14,18 @@ overlap are enumerated.
 Larger sets have up to thousands of partitions, any of which two joining sets share with a fair
 chance, so n1 = ceil((k + 1) / 3), of which ``PARTITIONS`` are indexed, and signatures of fewer than
 ``LEAST_MEMBERS`` n-grams, which say little, are left out. That bounds the signatures of a document by
-6 * PARTITIONS however long it is, and makes this part of the search approximate: 0.9997 of the pairs
-at 0.65 were found among 51,000 documents, 0.999 of those below 0.68; less among small sets of
-neighbouring bands (about 17 to 42 n-grams) right at the threshold. Found pairs are verified on whole
-sets of 48-bit n-gram hashes. Sets of the same 64-bit fingerprint count as equal without being compared.
+6 * PARTITIONS however long it is; they find nearly all pairs and gather clusters into groups.
+
+The pairs that share no signature are found by prefixes, so that none is left out. All n-grams have one
+order, rare ones first. Of a set of s n-grams the first s - ceil(threshold * s) + 1 are its prefix: two
+joining sets have an n-gram of both prefixes in common, whatever the order is. Pairs of groups that have
+one in common and no signature are searched, and those sets are candidates whose prefixes share as many as
+the threshold needs, given what can follow the prefixes. The order comes from counts of hashed
+n-grams in at most 2 ** ``CELL_BITS`` cells; an n-gram alone in its cell is in one text only and isn't
+indexed, nor is one alone in its cell of those in prefixes. Crowded cells make the search slower, not less complete.
+
+Candidates are verified on whole sets of 48-bit n-gram hashes. Sets of the same 64-bit fingerprint count
+as equal without being compared.
 
 Documents of equal sets are one class of copies and are never expanded into pairs: pairs are between
 sets, and a membership says which documents have each set.
@@ -51,6 +59,12 @@ SMALL, EXACT = 10, 36
 #: Members that a signature needs in sets of at least that many n-grams.
 LEAST_MEMBERS, FROM_GRAMS = 3, 24
 BLOCK = 256
+#: Cells of the n-gram counts, as a power of two (2 bits each, 32 MB), and the parts in which they are summed.
+CELL_BITS, CELL_PARTS = 27, 64
+#: Documents that make an n-gram more common than those of fewer.
+COMMON = (2, 4, 16)
+#: Two groups of so many sets at least are compared as a whole; in smaller ones pairs are searched. The results are the same.
+WHOLE = 16
 #: Ids up to this many are broadcast (16 MB); more are joined by a shuffle. The results are the same.
 BROADCAST_IDS = 2_000_000
 _U = np.uint64
@@ -119,18 +133,119 @@ def _print_of(grams: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return mix(a ^ mix(b + np.diff(cuts).astype(_U)))
 
 
-def _signer(n: int, threshold: float, partitions: int) -> Callable:
+def _cell_counter(n: int, bits: int, hashes: Callable) -> Callable:
+    """(part, cells, counts): in how many texts of this task the hashes of each cell are; cells as differences, by byte planes, which compress."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            cell, count = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            cuts = np.searchsorted(cell, np.arange(CELL_PARTS + 1, dtype=np.uint64) << _U(bits - CELL_PARTS.bit_length() + 1))
+            parts = [k for k in range(CELL_PARTS) if cuts[k] < cuts[k + 1]]
+            steps = [np.diff(cell[cuts[k] : cuts[k + 1]].astype(np.uint32), prepend=np.uint32(0)) for k in parts]
+            cells = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in steps]
+            counts = [np.minimum(count[cuts[k] : cuts[k + 1]], 255).astype(np.uint8).tobytes() for k in parts]
+            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], ["part", "cells", "counts"])
+
+        for batch in batches:
+            for _, slab in slabs(batch.column(0).to_pylist()):
+                held.append(hashes(*slab.gram_sets(n)) & _U((1 << bits) - 1))
+                if sum(map(len, held)) > 1 << 22:
+                    yield out()
+        if sum(map(len, held)):
+            yield out()
+
+    return run
+
+
+def _cell_adder(bits: int) -> Callable:
+    """(part, table) of rows sorted by part: two bits a cell, how common it is by ``COMMON``."""
+    width = (1 << bits) // CELL_PARTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(0, np.uint16)
+
+        def out() -> pa.RecordBatch:
+            level = np.searchsorted(np.array(COMMON), total, side="right").astype(np.uint8).reshape(-1, 4)
+            table = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([table.tobytes()], pa.binary())], ["part", "table"])
+
+        for batch in batches:
+            for part, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if part != at:
+                    if at is not None:
+                        yield out()
+                    at, total = part, np.zeros(width, np.uint16)
+                steps = np.ascontiguousarray(np.frombuffer(cells, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+                cell = np.cumsum(steps, dtype=np.int64) - part * width
+                total[cell] = np.minimum(total[cell] + np.frombuffer(counts, np.uint8), 255)
+        if at is not None:
+            yield out()
+
+    return run
+
+
+def _common(texts: DataFrame, n: int, bits: int, hashes: Callable) -> np.ndarray:
+    """How common each cell is in the texts, where ``hashes`` gives the distinct hashes of each text; a zero means one text at most."""
+    cells = texts.select("text").mapInArrow(_cell_counter(n, bits, hashes), "part int, cells binary, counts binary")
+    added = cells.repartition(CELL_PARTS, "part").sortWithinPartitions("part").mapInArrow(_cell_adder(bits), "part int, table binary")
+    table = np.zeros((CELL_PARTS, (1 << bits) // CELL_PARTS // 4), np.uint8)
+    for part, own in added.collect():
+        table[part] = np.frombuffer(own, np.uint8)
+    return table.ravel()
+
+
+def _level(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    cell = hashes & _U(4 * len(table) - 1)
+    return table[cell >> _U(2)] >> (cell & _U(3)).astype(np.uint8) * np.uint8(2) & np.uint8(3)
+
+
+def _prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
+    return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+
+
+def _prefixes(grams: np.ndarray, cuts: np.ndarray, threshold: float, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the set, code) of the n-grams in prefixes that other texts may hold, and the last code of each prefix. Codes are in the order of n-grams."""
+    size = np.diff(cuts)
+    of = np.repeat(np.arange(len(size)), size)
+    code = np.sort(of.astype(_U) << _U(50) | _level(table, grams).astype(_U) << _U(48) | grams) & _U((1 << 50) - 1)
+    ends = cuts[:-1] + _prefix_length(size, threshold)
+    last = np.zeros(len(size), _U)
+    last[size > 0] = code[ends[size > 0] - 1]
+    # Two sets of up to SMALL n-grams are found by their subsets; smaller ones than this join no larger set.
+    use = np.flatnonzero((np.arange(len(code)) < ends[of]) & (code > _M48) & (size[of] >= math.ceil(threshold * (SMALL + 1) - 1e-9)))
+    return of[use], code[use], last
+
+
+def _lists(doc: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
+    """One list for each of n sets."""
+    order = np.argsort(doc, kind="stable")
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[order], np.arange(n + 1)), pa.int32()), pa.array(value[order].view(np.int64)))
+
+
+def _prefix_tables(texts: DataFrame, n: int, threshold: float) -> tuple[object, object]:
+    """Broadcast tables: how common the n-grams are in texts, which gives their order, and how common the codes are in prefixes."""
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    bits = min(max(int(chars // 3).bit_length(), 12), CELL_BITS)
+    send = texts.sparkSession.sparkContext.broadcast
+    order = send(_common(texts, n, bits, lambda grams, cuts: grams))
+    return order, send(_common(texts, n, bits, lambda grams, cuts: mix(_prefixes(grams, cuts, threshold, order.value)[1])))
+
+
+def _signer(n: int, threshold: float, partitions: int, order: object, held: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for start, slab in slabs(batch.column(1).to_pylist()):
                 grams, cuts = slab.gram_sets(n)
                 doc, sig = _signatures(grams, cuts, threshold, partitions)
-                order = np.argsort(doc, kind="stable")
-                offsets = np.searchsorted(doc[order], np.arange(len(cuts)))
+                at, code, last = _prefixes(grams, cuts, threshold, order.value)
+                several = _level(held.value, mix(code)) > 0
                 full = np.flatnonzero(np.diff(cuts))
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(sig[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([ids.slice(start, len(cuts) - 1), pa.array(_print_of(grams, cuts).view(np.int64)), pa.array(np.diff(cuts)), lists], ["doc_id", "node", "grams", "sigs"]).take(pa.array(full))
+                columns = [pa.array(_print_of(grams, cuts).view(np.int64)), pa.array(np.diff(cuts)), pa.array(last.view(np.int64)), _lists(at[several], code[several], len(cuts) - 1), _lists(doc, sig, len(cuts) - 1)]
+                yield pa.RecordBatch.from_arrays([ids.slice(start, len(cuts) - 1), *columns], ["doc_id", "node", "grams", "last", "prefix", "sigs"]).take(pa.array(full))
 
     return run
 
@@ -242,11 +357,37 @@ def _verifier(threshold: float, mode: str) -> Callable:
     return run
 
 
+def _missed(signed: DataFrame, placed: DataFrame, links: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs of large groups (key_a, key_b), and of sets in other groups (node_a, node_b), that may join though no signature connects them.
+
+    A set that is in no group is a group by itself.
+    """
+    nodes = signed.groupBy("node").agg(F.first("grams").alias("size"), F.first("last").alias("last"), F.first("prefix").alias("prefix"))
+    nodes = nodes.where(F.size("prefix") > 0).join(placed.select("node", "key"), "node", "left").withColumn("key", F.coalesce("key", "node"))
+    posts = nodes.select("node", "key", "size", "last", F.explode("prefix").alias("code"))
+    several = posts.groupBy("code").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("code")
+    posts = checkpoint(posts.join(several, "code"))
+    held = posts.groupBy("code", "key").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    a, b = (held.toDF("code", f"key_{x}", f"least_{x}", f"most_{x}") for x in "ab")
+    near = (F.col("most_a") >= F.col("least_b") * threshold - 1e-6) & (F.col("most_b") >= F.col("least_a") * threshold - 1e-6)
+    met = a.join(b, "code").where((F.col("key_a") < F.col("key_b")) & near).select("code", "key_a", "key_b").join(links, ["key_a", "key_b"], "left_anti")
+    sizes = placed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= WHOLE).select("key")
+    whole = checkpoint(met.select("key_a", "key_b").distinct().join(sizes.toDF("key_a"), "key_a", "left_semi").join(sizes.toDF("key_b"), "key_b", "left_semi"))
+    a, b = (posts.select("code", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "node", "size", "last"))) for x in "ab")
+    both = met.join(whole, ["key_a", "key_b"], "left_anti").join(a, ["code", "key_a"]).join(b, ["code", "key_b"])
+    both = both.where((F.col("size_a") >= F.col("size_b") * threshold - 1e-6) & (F.col("size_b") >= F.col("size_a") * threshold - 1e-6))
+    shared = both.groupBy("node_a", "node_b").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("size_a", "size_b", "last_a", "last_b")))
+    # What both sets have up to the prefix that ends first is shared by the prefixes; the rest of that set is all that can follow.
+    rest = F.ceil(threshold * F.when(F.col("last_a") <= F.col("last_b"), F.col("size_a")).otherwise(F.col("size_b")) - 1e-9) - 1
+    needs = threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    return whole, checkpoint(shared.where(F.col("shared") + rest >= needs).select("node_a", "node_b"))
+
+
 def _sets_and_pairs(docs: DataFrame, n: int, threshold: float, partitions: int, mode: str) -> tuple[DataFrame, DataFrame]:
     """Members (node, doc_id), and verified ``pairs`` of different nodes, a ``forest`` of them that keeps the groups, or that with ``links`` counted."""
     spark = ready(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    signed = checkpoint(texts.mapInArrow(_signer(n, threshold, partitions), "doc_id bigint, node bigint, grams bigint, sigs array<bigint>"))
+    signed = checkpoint(texts.mapInArrow(_signer(n, threshold, partitions, *_prefix_tables(texts, n, threshold)), "doc_id bigint, node bigint, grams bigint, last bigint, prefix array<bigint>, sigs array<bigint>"))
     members = signed.select("node", "doc_id").repartition("node").distinct()
 
     # Buckets: sets that share a signature; the first set of a bucket is its pivot. Pivots are aggregated before
@@ -264,6 +405,9 @@ def _sets_and_pairs(docs: DataFrame, n: int, threshold: float, partitions: int,
     # Groups that some bucket connects are compared with one another, too.
     keys = shared.join(placed.select("node", "key"), "node").groupBy("sig").agg(F.sort_array(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
     links = keys.select(F.posexplode("keys").alias("i", "key_a"), "keys").select("key_a", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("key_b")).distinct()
+    links = checkpoint(links)
+    whole, missed = _missed(signed, placed, links, threshold)
+    links = links.unionByName(whole)
     left, right = blocks.toDF("key_a", "blk_a"), blocks.toDF("key_b", "blk_b")
     within = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("blk_a") <= F.col("blk_b")))
     tiles = within.unionByName(links.join(left, "key_a").join(right, "key_b"))
@@ -271,16 +415,21 @@ def _sets_and_pairs(docs: DataFrame, n: int, threshold: float, partitions: int,
     ends = F.array(F.struct(F.col("key_a").alias("key"), F.col("blk_a").alias("blk"), F.lit(0).alias("side")), F.struct(F.col("key_b").alias("key"), F.col("blk_b").alias("blk"), F.lit(1).alias("side")))
     same = (F.col("key_a") == F.col("key_b")) & (F.col("blk_a") == F.col("blk_b"))
     sides = tiles.select("tile", F.explode(F.when(same, F.slice(ends, 1, 1)).otherwise(ends)).alias("end")).select("tile", "end.*")
+    singles = missed.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct().join(placed, "node", "left_anti")
+    searched = checkpoint(placed.unionByName(singles.select("node", F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("bigint").alias("blk"))))
     wanted = None
-    if (count := placed.count()) <= BROADCAST_IDS:
-        wanted = spark.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in placed.select("node").toLocalIterator()), np.int64, count)) if count else np.zeros(1, np.int64))
+    if (count := searched.count()) <= BROADCAST_IDS:
+        wanted = spark.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in searched.select("node").toLocalIterator()), np.int64, count)) if count else np.zeros(1, np.int64))
     sets = texts.select("text").mapInArrow(_set_reader(n, wanted), "node bigint, members binary").groupBy("node").agg(F.first("members").alias("members"))
-    located = placed.join(sets, "node")
+    located = searched.join(sets, "node")
     if mode == "links":
         located = located.join(members.groupBy("node").agg(F.count("*").alias("copies")), "node")
     else:
         located = located.withColumn("copies", F.lit(1).cast("bigint"))
     rows = sides.join(located, ["key", "blk"]).select("tile", "node", "side", "members", "copies")
+    two = F.array(F.struct(F.col("node_a").alias("node"), F.lit(0).alias("side")), F.struct(F.col("node_b").alias("node"), F.lit(1).alias("side")))
+    own = missed.select(F.xxhash64("node_a", "node_b").alias("tile"), F.explode(two).alias("end")).select("tile", "end.*")
+    rows = rows.unionByName(own.join(located, "node").select("tile", "node", "side", "members", "copies"))
     rows = rows.repartition("tile").sortWithinPartitions("tile")
     pairs = rows.mapInArrow(_verifier(threshold, mode), "node_a bigint, node_b bigint, jaccard double")
     return members, pairs

@@ -163,6 +163,48 @@ def test_pairs_recall(spark):
     assert len(found) >= 0.98 * len(want) > 100
 
 
+def at_the_threshold(pairs, seed):
+    """Pairs of texts that share just as many word pairs as the threshold needs, in sizes that signatures serve worst, and larger ones."""
+    rng = np.random.default_rng(seed)
+    sizes = [(26, 40), (23, 27), (26, 27), (10, 15), (12, 18), (17, 17), (33, 42), (90, 120), (300, 300)]
+    rows = []
+    for k in range(pairs):
+        a, b = sizes[k % len(sizes)]
+        both = -(-(a + b) * 65 // 165)
+        base = [f"w{x}" for x in rng.integers(0, 100_000, both + 1)]
+        for size in (a, b):
+            rows.append((len(rows), " ".join(base + [f"w{x}" for x in rng.integers(0, 100_000, size - both)]), "en", "a", 0))
+    return rows
+
+
+def test_pairs_at_the_threshold_are_whole(spark):
+    rows = at_the_threshold(540, 11)
+    want = brute_pairs(rows)
+    assert len(want) >= 500
+    docs = spark.createDataFrame(rows, DOCS)
+    same(expanded(ngram_join.similar_sets(docs)), want)
+    same(ngram_join.linked_documents(docs).collect(), brute_links(rows))
+
+
+@pytest.mark.parametrize("whole", [2, 1000])
+def test_pairs_are_whole_with_few_signatures(spark, monkeypatch, whole):
+    """Clusters whose groups few signatures connect: groups compared as a whole, and set by set, each pair once."""
+    monkeypatch.setattr(ngram_join, "WHOLE", whole)
+    rng = np.random.default_rng(7)
+    rows = []
+    for _ in range(12):
+        base = [f"w{x}" for x in rng.integers(0, 500, int(rng.choice([14, 25, 40, 150])))]
+        for _ in range(12):
+            copy = list(base)
+            for at in rng.integers(0, len(base), max(1, len(base) // 14)):
+                copy[at] = f"w{rng.integers(0, 500)}"
+            rows.append((len(rows), " ".join(copy), "en", "a", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    want = brute_pairs(rows)
+    same(expanded(ngram_join.similar_sets(docs, partitions=1)), want)
+    same(ngram_join.linked_documents(docs, partitions=1).collect(), brute_links(rows))
+
+
 def test_one_of_each_group_stays(docs, wide, none, rows):
     low = {}
     for a, b, _ in sorted(brute_pairs(rows)):
