@@ -42,6 +42,16 @@ def test_stages_of_nothing(spark, sf):
         assert stage(spark, docs, sf).collect() == []
 
 
+def test_near_duplicates_at_the_threshold_go(spark, sf):
+    """Pairs of 26 and 40 word pairs that share 26: the similarity is the threshold. The later text of each goes."""
+    rows = []
+    for k in range(300):
+        both = [f"p{k}w{i}" for i in range(27)]
+        rows += [(2 * k, " ".join(both)), (2 * k + 1, " ".join([*both, *(f"q{k}w{i}" for i in range(14))]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == [2 * k for k in range(300)]
+
+
 def test_stages_of_odd_rows(spark):
     """Nulls in any column, repeated rows and clashing names pass every stage; each keeps a part of its input with its columns."""
     text = " ".join(f"w{k * 7 % 50}" for k in range(90))
