@@ -17,12 +17,14 @@ chance, so n1 = ceil((k + 1) / 3), of which ``PARTITIONS`` are indexed, and sign
 6 * PARTITIONS however long it is; they find nearly all pairs and gather clusters into groups.
 
 The pairs that share no signature are found by prefixes, so that none is left out. All n-grams have one
-order, rare ones first. Of a set of s n-grams the first s - ceil(threshold * s) + 1 are its prefix: two
-joining sets have an n-gram of both prefixes in common, whatever the order is. Pairs of groups that have
-one in common and no signature are searched, and those sets are candidates whose prefixes share as many as
-the threshold needs, given what can follow the prefixes. The order comes from counts of hashed
-n-grams in at most 2 ** ``CELL_BITS`` cells; an n-gram alone in its cell is in one text only and isn't
-indexed, nor is one alone in its cell of those in prefixes. Crowded cells make the search slower, not less complete.
+order, rare ones first. Of a set of s n-grams the first s - ceil(threshold * s) + 1 are its long prefix,
+the first s - ceil(2 * threshold / (1 + threshold) * s) + 1 its short one: two joining sets have an n-gram
+of the smaller one's short and the larger one's long prefix in common, whatever the order is. Pairs of groups
+that have one in common and no signature are searched, and those sets are candidates whose prefixes share as
+many as the threshold needs, given what can follow them. Short prefixes are mostly n-grams of one text only,
+which aren't indexed, nor are those that are in no short prefix. N-grams are counted by cells, many more than there
+are n-grams; the tables of common ones that are sent have 2 ** ``TABLE_BITS`` bits at most. A crowded
+table makes the order worse and the search slower, not less complete.
 
 Candidates are verified on whole sets of 48-bit n-gram hashes. Sets of the same 64-bit fingerprint count
 as equal without being compared.
@@ -59,10 +61,12 @@ SMALL, EXACT = 10, 36
 #: Members that a signature needs in sets of at least that many n-grams.
 LEAST_MEMBERS, FROM_GRAMS = 3, 24
 BLOCK = 256
-#: Cells of the n-gram counts, as a power of two (2 bits each, 32 MB), and the parts in which they are summed.
-CELL_BITS, CELL_PARTS = 27, 64
+#: Parts, at least, in which n-grams are counted, and the most bits, as a power of two, of a table of common ones (64 MB).
+CELL_PARTS, TABLE_BITS = 64, 29
 #: Documents that make an n-gram more common than those of fewer.
-COMMON = (2, 4, 16)
+COMMON = (2, 4, 8, 16, 32, 64, 256, 1024)
+#: Texts of a slab, as a power of two; its numbers, levels of 4 bits and n-grams of 48 share 64 bits.
+ROWS = 12
 #: Two groups of so many sets at least are compared as a whole; in smaller ones pairs are searched. The results are the same.
 WHOLE = 16
 #: Ids up to this many are broadcast (16 MB); more are joined by a shuffle. The results are the same.
@@ -133,8 +137,9 @@ def _print_of(grams: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return mix(a ^ mix(b + np.diff(cuts).astype(_U)))
 
 
-def _cell_counter(n: int, bits: int, hashes: Callable) -> Callable:
+def _cell_counter(n: int, bits: int, parts: int, hashes: Callable) -> Callable:
     """(part, cells, counts): in how many texts of this task the hashes of each cell are; cells as differences, by byte planes, which compress."""
+    wide = bits - parts.bit_length() + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -142,15 +147,15 @@ def _cell_counter(n: int, bits: int, hashes: Callable) -> Callable:
         def out() -> pa.RecordBatch:
             cell, count = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            cuts = np.searchsorted(cell, np.arange(CELL_PARTS + 1, dtype=np.uint64) << _U(bits - CELL_PARTS.bit_length() + 1))
-            parts = [k for k in range(CELL_PARTS) if cuts[k] < cuts[k + 1]]
-            steps = [np.diff(cell[cuts[k] : cuts[k + 1]].astype(np.uint32), prepend=np.uint32(0)) for k in parts]
+            cuts = np.searchsorted(cell, np.arange(parts + 1, dtype=np.uint64) << _U(wide))
+            some = [k for k in range(parts) if cuts[k] < cuts[k + 1]]
+            steps = [np.diff((cell[cuts[k] : cuts[k + 1]] - (_U(k) << _U(wide))).astype(np.uint32), prepend=np.uint32(0)) for k in some]
             cells = [np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes() for x in steps]
-            counts = [np.minimum(count[cuts[k] : cuts[k + 1]], 255).astype(np.uint8).tobytes() for k in parts]
-            return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], ["part", "cells", "counts"])
+            counts = [np.minimum(count[cuts[k] : cuts[k + 1]], 255).astype(np.uint8).tobytes() for k in some]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(cells, pa.binary()), pa.array(counts, pa.binary())], ["part", "cells", "counts"])
 
         for batch in batches:
-            for _, slab in slabs(batch.column(0).to_pylist()):
+            for _, slab in slabs(batch.column(0).to_pylist(), rows=1 << ROWS):
                 held.append(hashes(*slab.gram_sets(n)) & _U((1 << bits) - 1))
                 if sum(map(len, held)) > 1 << 22:
                     yield out()
@@ -160,63 +165,87 @@ def _cell_counter(n: int, bits: int, hashes: Callable) -> Callable:
     return run
 
 
-def _cell_adder(bits: int) -> Callable:
-    """(part, table) of rows sorted by part: two bits a cell, how common it is by ``COMMON``."""
-    width = (1 << bits) // CELL_PARTS
+def _cell_adder(wide: int, least: tuple[int, ...], slices: list[int]) -> Callable:
+    """(part, level, slice) of rows sorted by part: for each number of texts in ``least`` one bit for cells that are in so many; several cells share a bit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, total = None, np.zeros(0, np.uint16)
+        at, held = None, []
 
         def out() -> pa.RecordBatch:
-            level = np.searchsorted(np.array(COMMON), total, side="right").astype(np.uint8).reshape(-1, 4)
-            table = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
-            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([table.tobytes()], pa.binary())], ["part", "table"])
+            cell, count = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(cell)
+            cell = cell[order]
+            starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            cell, total = cell[starts], np.add.reduceat(count[order].astype(np.int64), starts)
+            bits = []
+            for few, own in zip(least, slices, strict=True):
+                table = np.zeros(1 << own, bool)
+                table[cell[total >= few] >> np.uint32(wide - own)] = True
+                bits.append(np.packbits(table, bitorder="little").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array([at] * len(least), pa.int32()), pa.array(range(len(least)), pa.int32()), pa.array(bits, pa.binary())], ["part", "level", "slice"])
 
         for batch in batches:
             for part, cells, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part != at:
                     if at is not None:
                         yield out()
-                    at, total = part, np.zeros(width, np.uint16)
+                    at, held = part, []
                 steps = np.ascontiguousarray(np.frombuffer(cells, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-                cell = np.cumsum(steps, dtype=np.int64) - part * width
-                total[cell] = np.minimum(total[cell] + np.frombuffer(counts, np.uint8), 255)
+                held.append((np.cumsum(steps, dtype=np.uint32), np.frombuffer(counts, np.uint8)))
         if at is not None:
             yield out()
 
     return run
 
 
-def _common(texts: DataFrame, n: int, bits: int, hashes: Callable) -> np.ndarray:
-    """How common each cell is in the texts, where ``hashes`` gives the distinct hashes of each text; a zero means one text at most."""
-    cells = texts.select("text").mapInArrow(_cell_counter(n, bits, hashes), "part int, cells binary, counts binary")
-    added = cells.repartition(CELL_PARTS, "part").sortWithinPartitions("part").mapInArrow(_cell_adder(bits), "part int, table binary")
-    table = np.zeros((CELL_PARTS, (1 << bits) // CELL_PARTS // 4), np.uint8)
-    for part, own in added.collect():
-        table[part] = np.frombuffer(own, np.uint8)
-    return table.ravel()
-
-
-def _level(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    cell = hashes & _U(4 * len(table) - 1)
-    return table[cell >> _U(2)] >> (cell & _U(3)).astype(np.uint8) * np.uint8(2) & np.uint8(3)
-
-
-def _prefix_length(size: np.ndarray, threshold: float) -> np.ndarray:
-    return size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
+def _common(texts: DataFrame, n: int, chars: int, least: tuple[int, ...], hashes: Callable) -> tuple[int, list[np.ndarray]]:
+    """How common hashes are, where ``hashes`` gives the distinct ones of each text: the bits of a cell's number, and for each of ``least`` a table of bits.
 
-
-def _prefixes(grams: np.ndarray, cuts: np.ndarray, threshold: float, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the set, code) of the n-grams in prefixes that other texts may hold, and the last code of each prefix. Codes are in the order of n-grams."""
+    Cells are many more than n-grams, and they and the parts in which they are counted grow with the texts; only the tables are bounded.
+    """
+    bits = min(max(chars.bit_length() + 3, 24), 44)
+    log = min(max((chars >> 24).bit_length(), CELL_PARTS.bit_length() - 1), bits - 12)
+    tables = [min(max(chars.bit_length() - 3, 18), TABLE_BITS) - k for k in range(len(least))]
+    slices = [max(min(t - log, bits - log), 3) for t in tables]
+    cells = texts.select("text").mapInArrow(_cell_counter(n, bits, 1 << log, hashes), "part int, cells binary, counts binary")
+    added = cells.repartition(1 << log, "part").sortWithinPartitions("part").mapInArrow(_cell_adder(bits - log, least, slices), "part int, level int, slice binary")
+    out = [np.zeros((1 << log, (1 << own) // 8), np.uint8) for own in slices]
+    for part, level, own in added.collect():
+        out[level][part] = np.frombuffer(own, np.uint8)
+    return bits, [x.ravel() for x in out]
+
+
+def _level(table: tuple[int, list[np.ndarray]], hashes: np.ndarray) -> np.ndarray:
+    """In how many tables each hash is before the first that lacks it."""
+    bits, tables = table
+    cell = hashes & _U((1 << bits) - 1)
+    level, rest = np.zeros(len(hashes), np.uint8), np.arange(len(hashes))
+    for own in tables:
+        at = cell[rest] >> _U(bits - (8 * len(own)).bit_length() + 1)
+        rest = rest[(own[at >> _U(3)] >> (at & _U(7)).astype(np.uint8) & np.uint8(1)).astype(bool)]
+        level[rest] += np.uint8(1)
+    return level
+
+
+def _prefix_length(size: np.ndarray, share: float) -> np.ndarray:
+    return size - np.ceil(share * size - 1e-9).astype(np.int64) + 1
+
+
+def _prefixes(grams: np.ndarray, cuts: np.ndarray, threshold: float, table: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the set, code, whether it is in the short prefix) of the n-grams in prefixes that other texts may hold, and the last codes of each short and long prefix.
+
+    Codes are in the order of n-grams.
+    """
     size = np.diff(cuts)
     of = np.repeat(np.arange(len(size)), size)
-    code = np.sort(of.astype(_U) << _U(50) | _level(table, grams).astype(_U) << _U(48) | grams) & _U((1 << 50) - 1)
-    ends = cuts[:-1] + _prefix_length(size, threshold)
-    last = np.zeros(len(size), _U)
-    last[size > 0] = code[ends[size > 0] - 1]
+    code = np.sort(of.astype(_U) << _U(64 - ROWS) | _level(table, grams).astype(_U) << _U(48) | grams) & _U((1 << 64 - ROWS) - 1)
+    ends = [cuts[:-1] + _prefix_length(size, share) for share in (2 * threshold / (1 + threshold), threshold)]
+    soon, last = np.zeros(len(size), _U), np.zeros(len(size), _U)
+    soon[size > 0], last[size > 0] = (code[x[size > 0] - 1] for x in ends)
     # Two sets of up to SMALL n-grams are found by their subsets; smaller ones than this join no larger set.
-    use = np.flatnonzero((np.arange(len(code)) < ends[of]) & (code > _M48) & (size[of] >= math.ceil(threshold * (SMALL + 1) - 1e-9)))
-    return of[use], code[use], last
+    at = np.arange(len(code))
+    use = np.flatnonzero((at < ends[1][of]) & (code > _M48) & (size[of] >= math.ceil(threshold * (SMALL + 1) - 1e-9)))
+    return of[use], code[use], use < ends[0][of[use]], soon, last
 
 
 def _lists(doc: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
@@ -226,26 +255,30 @@ def _lists(doc: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
 
 
 def _prefix_tables(texts: DataFrame, n: int, threshold: float) -> tuple[object, object]:
-    """Broadcast tables: how common the n-grams are in texts, which gives their order, and how common the codes are in prefixes."""
-    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(max(int(chars // 3).bit_length(), 12), CELL_BITS)
+    """Broadcast tables: how common the n-grams are in texts, which gives their order, and which codes are in a short prefix."""
+    chars = int(texts.agg(F.sum(F.length("text"))).first()[0] or 0)
     send = texts.sparkSession.sparkContext.broadcast
-    order = send(_common(texts, n, bits, lambda grams, cuts: grams))
-    return order, send(_common(texts, n, bits, lambda grams, cuts: mix(_prefixes(grams, cuts, threshold, order.value)[1])))
+    order = send(_common(texts, n, chars, COMMON, lambda grams, cuts: grams))
+
+    def short(grams: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        _, code, early, _, _ = _prefixes(grams, cuts, threshold, order.value)
+        return mix(code[early])
+
+    return order, send(_common(texts, n, chars, (1,), short))
 
 
 def _signer(n: int, threshold: float, partitions: int, order: object, held: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for start, slab in slabs(batch.column(1).to_pylist()):
+            for start, slab in slabs(batch.column(1).to_pylist(), rows=1 << ROWS):
                 grams, cuts = slab.gram_sets(n)
                 doc, sig = _signatures(grams, cuts, threshold, partitions)
-                at, code, last = _prefixes(grams, cuts, threshold, order.value)
-                several = _level(held.value, mix(code)) > 0
+                at, code, _, soon, last = _prefixes(grams, cuts, threshold, order.value)
+                met = _level(held.value, mix(code)) > 0
                 full = np.flatnonzero(np.diff(cuts))
-                columns = [pa.array(_print_of(grams, cuts).view(np.int64)), pa.array(np.diff(cuts)), pa.array(last.view(np.int64)), _lists(at[several], code[several], len(cuts) - 1), _lists(doc, sig, len(cuts) - 1)]
-                yield pa.RecordBatch.from_arrays([ids.slice(start, len(cuts) - 1), *columns], ["doc_id", "node", "grams", "last", "prefix", "sigs"]).take(pa.array(full))
+                columns = [pa.array(_print_of(grams, cuts).view(np.int64)), pa.array(np.diff(cuts)), pa.array(soon.view(np.int64)), pa.array(last.view(np.int64)), _lists(at[met], code[met], len(cuts) - 1), _lists(doc, sig, len(cuts) - 1)]
+                yield pa.RecordBatch.from_arrays([ids.slice(start, len(cuts) - 1), *columns], ["doc_id", "node", "grams", "soon", "last", "prefix", "sigs"]).take(pa.array(full))
 
     return run
 
@@ -362,24 +395,29 @@ def _missed(signed: DataFrame, placed: DataFrame, links: DataFrame, threshold: f
 
     A set that is in no group is a group by itself.
     """
-    nodes = signed.groupBy("node").agg(F.first("grams").alias("size"), F.first("last").alias("last"), F.first("prefix").alias("prefix"))
-    nodes = nodes.where(F.size("prefix") > 0).join(placed.select("node", "key"), "node", "left").withColumn("key", F.coalesce("key", "node"))
-    posts = nodes.select("node", "key", "size", "last", F.explode("prefix").alias("code"))
-    several = posts.groupBy("code").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("code")
-    posts = checkpoint(posts.join(several, "code"))
-    held = posts.groupBy("code", "key").agg(F.min("size").alias("least"), F.max("size").alias("most"))
-    a, b = (held.toDF("code", f"key_{x}", f"least_{x}", f"most_{x}") for x in "ab")
-    near = (F.col("most_a") >= F.col("least_b") * threshold - 1e-6) & (F.col("most_b") >= F.col("least_a") * threshold - 1e-6)
+    nodes = signed.where(F.size("prefix") > 0).groupBy("node").agg(*(F.first(c).alias(d) for c, d in (("grams", "size"), ("soon", "soon"), ("last", "last"), ("prefix", "prefix"))))
+    nodes = checkpoint(nodes.join(placed.select("node", "key"), "node", "left").withColumn("key", F.coalesce("key", "node")))
+    posts = nodes.select("node", "key", "size", "soon", "last", F.explode("prefix").alias("code"))
+    several = posts.groupBy("code").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.max(F.col("code") <= F.col("soon")).alias("early")).where("low <> high AND early")
+    several = checkpoint(several.select("code"))
+    posts = checkpoint(posts.join(F.broadcast(several) if several.count() <= BROADCAST_IDS else several, "code"))
+    held = posts.groupBy("code", "key").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max(F.col("code") <= F.col("soon")).alias("early"))
+    a, b = (held.toDF("code", f"key_{x}", f"least_{x}", f"most_{x}", f"early_{x}") for x in "ab")
+    near = (F.col("most_a") >= F.col("least_b") * threshold - 1e-6) & (F.col("most_b") >= F.col("least_a") * threshold - 1e-6) & (F.col("early_a") | F.col("early_b"))
     met = a.join(b, "code").where((F.col("key_a") < F.col("key_b")) & near).select("code", "key_a", "key_b").join(links, ["key_a", "key_b"], "left_anti")
     sizes = placed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= WHOLE).select("key")
     whole = checkpoint(met.select("key_a", "key_b").distinct().join(sizes.toDF("key_a"), "key_a", "left_semi").join(sizes.toDF("key_b"), "key_b", "left_semi"))
-    a, b = (posts.select("code", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "node", "size", "last"))) for x in "ab")
+    a, b = (posts.select("code", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "node", "size", "soon", "last"))) for x in "ab")
     both = met.join(whole, ["key_a", "key_b"], "left_anti").join(a, ["code", "key_a"]).join(b, ["code", "key_b"])
-    both = both.where((F.col("size_a") >= F.col("size_b") * threshold - 1e-6) & (F.col("size_b") >= F.col("size_a") * threshold - 1e-6))
-    shared = both.groupBy("node_a", "node_b").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("size_a", "size_b", "last_a", "last_b")))
-    # What both sets have up to the prefix that ends first is shared by the prefixes; the rest of that set is all that can follow.
-    rest = F.ceil(threshold * F.when(F.col("last_a") <= F.col("last_b"), F.col("size_a")).otherwise(F.col("size_b")) - 1e-9) - 1
-    needs = threshold / (1 + threshold) * (F.col("size_a") + F.col("size_b")) - 1e-6
+    smaller = F.col("size_a") <= F.col("size_b")
+    size, soon = (F.when(smaller, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")) for c in ("size", "soon"))
+    large, last = (F.when(smaller, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")) for c in ("size", "last"))
+    both = both.where((size >= large * threshold - 1e-6) & (F.col("code") <= soon))
+    shared = both.groupBy("node_a", "node_b").agg(F.count("*").alias("shared"), F.first(size).alias("size"), F.first(large).alias("large"), F.first(soon).alias("soon"), F.first(last).alias("last"))
+    # What both sets have up to the end of the prefix that ends first, the smaller set's short or the larger one's long, is shared
+    # by the prefixes; the rest of that set is all that can follow.
+    rest = F.when(F.col("soon") <= F.col("last"), F.ceil(2 * threshold / (1 + threshold) * F.col("size") - 1e-9)).otherwise(F.ceil(threshold * F.col("large") - 1e-9)) - 1
+    needs = threshold / (1 + threshold) * (F.col("size") + F.col("large")) - 1e-6
     return whole, checkpoint(shared.where(F.col("shared") + rest >= needs).select("node_a", "node_b"))
 
 
@@ -387,7 +425,7 @@ def _sets_and_pairs(docs: DataFrame, n: int, threshold: float, partitions: int,
     """Members (node, doc_id), and verified ``pairs`` of different nodes, a ``forest`` of them that keeps the groups, or that with ``links`` counted."""
     spark = ready(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    signed = checkpoint(texts.mapInArrow(_signer(n, threshold, partitions, *_prefix_tables(texts, n, threshold)), "doc_id bigint, node bigint, grams bigint, last bigint, prefix array<bigint>, sigs array<bigint>"))
+    signed = checkpoint(texts.mapInArrow(_signer(n, threshold, partitions, *_prefix_tables(texts, n, threshold)), "doc_id bigint, node bigint, grams bigint, soon bigint, last bigint, prefix array<bigint>, sigs array<bigint>"))
     members = signed.select("node", "doc_id").repartition("node").distinct()
 
     # Buckets: sets that share a signature; the first set of a bucket is its pivot. Pivots are aggregated before

@@ -163,6 +163,18 @@ def test_pairs_recall(spark):
     assert len(found) >= 0.98 * len(want) > 100
 
 
+def test_ngrams_of_one_text_are_known(spark):
+    """They come first in prefixes and aren't searched; the shared ones are never taken for them."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"{x:x}" for x in rng.integers(0, 1 << 20, 200)) + " in all texts" for _ in range(400)]
+    order, _ = ngram_join._prefix_tables(spark.createDataFrame([(t,) for t in texts], "text string"), 2, 0.65)
+    grams = np.concatenate([s.gram_sets(2)[0] for _, s in kernels.slabs(texts)])
+    gram, count = np.unique(grams, return_counts=True)
+    level = ngram_join._level(order.value, gram)
+    assert (level[count == 1] > 0).mean() < 0.02
+    assert (level[count > 1] > 0).all() and (count == 400).sum() == 2
+
+
 def at_the_threshold(pairs, seed):
     """Pairs of texts that share just as many word pairs as the threshold needs, in sizes that signatures serve worst, and larger ones."""
     rng = np.random.default_rng(seed)
