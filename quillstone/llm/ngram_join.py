@@ -24,7 +24,11 @@ that have one in common and no signature are searched, and those sets are candid
 many as the threshold needs, given what can follow them. Short prefixes are mostly n-grams of one text only,
 which aren't indexed, nor are those that are in no short prefix. N-grams are counted by cells, many more than there
 are n-grams; the tables of common ones that are sent have 2 ** ``TABLE_BITS`` bits at most. A crowded
-table makes the order worse and the search slower, not less complete.
+table makes the order worse and the search slower, not less complete. Signatures are counted in the same way, and
+those of one text only, which find nothing, aren't written.
+
+Groups that are connected are compared where the larger one is, its host; the smaller one's sets are sent there as guests,
+so that a large group is not sent once for each small one it meets.
 
 Candidates are verified on whole sets of 48-bit n-gram hashes. Sets of the same 64-bit fingerprint count
 as equal without being compared.
@@ -69,7 +73,7 @@ COMMON = (2, 4, 8, 16, 32, 64, 256, 1024)
 ROWS = 12
 #: Two groups of so many sets at least are compared as a whole; in smaller ones pairs are searched. The results are the same.
 WHOLE = 16
-#: Ids up to this many are broadcast (16 MB); more are joined by a shuffle. The results are the same.
+#: Ids up to this many are broadcast (16 MB, places of sets 50 MB); more are joined by a shuffle. The results are the same.
 BROADCAST_IDS = 2_000_000
 _U = np.uint64
 _M48 = _U((1 << 48) - 1)
@@ -254,9 +258,13 @@ def _lists(doc: np.ndarray, value: np.ndarray, n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[order], np.arange(n + 1)), pa.int32()), pa.array(value[order].view(np.int64)))
 
 
+def _chars(texts: DataFrame) -> int:
+    return int(texts.agg(F.sum(F.length("text"))).first()[0] or 0)
+
+
 def _prefix_tables(texts: DataFrame, n: int, threshold: float) -> tuple[object, object]:
     """Broadcast tables: how common the n-grams are in texts, which gives their order, and which codes are in a short prefix."""
-    chars = int(texts.agg(F.sum(F.length("text"))).first()[0] or 0)
+    chars = _chars(texts)
     send = texts.sparkSession.sparkContext.broadcast
     order = send(_common(texts, n, chars, COMMON, lambda grams, cuts: grams))
 
@@ -267,71 +275,111 @@ def _prefix_tables(texts: DataFrame, n: int, threshold: float) -> tuple[object,
     return order, send(_common(texts, n, chars, (1,), short))
 
 
-def _signer(n: int, threshold: float, partitions: int, order: object, held: object) -> Callable:
+def _signature_table(texts: DataFrame, n: int, threshold: float, partitions: int) -> object:
+    """A broadcast table of the signatures that several texts have."""
+    return texts.sparkSession.sparkContext.broadcast(_common(texts, n, _chars(texts), (2,), lambda grams, cuts: _signatures(grams, cuts, threshold, partitions)[1]))
+
+
+def _signer(n: int, threshold: float, partitions: int, order: object, held: object, several: object) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
             for start, slab in slabs(batch.column(1).to_pylist(), rows=1 << ROWS):
                 grams, cuts = slab.gram_sets(n)
                 doc, sig = _signatures(grams, cuts, threshold, partitions)
+                some = _level(several.value, sig) > 0
                 at, code, _, soon, last = _prefixes(grams, cuts, threshold, order.value)
                 met = _level(held.value, mix(code)) > 0
                 full = np.flatnonzero(np.diff(cuts))
-                columns = [pa.array(_print_of(grams, cuts).view(np.int64)), pa.array(np.diff(cuts)), pa.array(soon.view(np.int64)), pa.array(last.view(np.int64)), _lists(at[met], code[met], len(cuts) - 1), _lists(doc, sig, len(cuts) - 1)]
+                columns = [pa.array(_print_of(grams, cuts).view(np.int64)), pa.array(np.diff(cuts)), pa.array(soon.view(np.int64)), pa.array(last.view(np.int64)), _lists(at[met], code[met], len(cuts) - 1), _lists(doc[some], sig[some], len(cuts) - 1)]
                 yield pa.RecordBatch.from_arrays([ids.slice(start, len(cuts) - 1), *columns], ["doc_id", "node", "grams", "soon", "last", "prefix", "sigs"]).take(pa.array(full))
 
     return run
 
 
-def _set_reader(n: int, wanted: object) -> Callable:
-    """The sets of the wanted nodes (a broadcast sorted array), or of all (None)."""
+def _packed(grams: np.ndarray) -> bytes:
+    """N-grams by their 6 bytes."""
+    return grams.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpacked(members: bytes) -> np.ndarray:
+    out = np.zeros((len(members) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(members, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _set_reader(n: int) -> Callable:
+    """The sets of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        want = None if wanted is None else wanted.value
         for batch in batches:
             for _, slab in slabs(batch.column(0).to_pylist()):
                 grams, cuts = slab.gram_sets(n)
-                node = _print_of(grams, cuts).view(np.int64)
-                pick = np.diff(cuts) > 0
-                if want is not None:
-                    at = np.minimum(np.searchsorted(want, node), len(want) - 1)
-                    pick &= want[at] == node
-                pick = np.flatnonzero(pick)
+                pick = np.flatnonzero(np.diff(cuts))
                 if len(pick):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[pick]), pa.array([grams[cuts[i] : cuts[i + 1]].tobytes() for i in pick], pa.binary())], ["node", "members"])
+                    node = _print_of(grams, cuts).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(node[pick]), pa.array([_packed(grams[cuts[i] : cuts[i + 1]]) for i in pick], pa.binary())], ["node", "members"])
 
     return run
 
 
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all pairwise intersections."""
+def _set_sender(n: int, places: object) -> Callable:
+    """The sets at their places (a broadcast array sorted by node), each once for a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = places.value
+        sent = np.zeros(len(place), bool)
+        for batch in batches:
+            for _, slab in slabs(batch.column(0).to_pylist()):
+                grams, cuts = slab.gram_sets(n)
+                node, first = np.unique(_print_of(grams, cuts).view(np.int64), return_index=True)
+                low, high = (np.searchsorted(place["node"], node, side) for side in ("left", "right"))
+                pick = np.flatnonzero((low < high) & (np.diff(cuts)[first] > 0))
+                pick = pick[~sent[low[pick]]]
+                sent[low[pick]] = True
+                at = [k for i in pick for k in range(low[i], high[i])]
+                if at:
+                    members = [_packed(grams[cuts[first[i]] : cuts[first[i] + 1]]) for i in pick]
+                    members = pa.array(members, pa.binary()).take(pa.array(np.repeat(np.arange(len(pick)), (high - low)[pick])))
+                    own = place[at]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(own[c]) for c in ("tile", "node", "side")), members, pa.array(own["copies"])], ["tile", "node", "side", "members", "copies"])
+
+    return run
+
+
+def _overlaps(sets: list[np.ndarray], hosts: int) -> np.ndarray:
+    """Sizes of the intersections of the first sets, the hosts, with all."""
     if len(sets) == 2:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return np.array([[len(sets[0]), both], [both, len(sets[1])]])
+        return np.array([[len(sets[0]), both], [both, len(sets[1])]])[:hosts]
     of = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     value, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = count > 1
+    shared &= np.bincount(column[of < hosts], minlength=len(value)) > 0
     rank = np.cumsum(shared) - 1
     keep = shared[column]
     of, column = of[keep], rank[column[keep]]
     order = np.argsort(column, kind="stable")
     of, column = of[order], column[order]
-    out = np.zeros((len(sets), len(sets)), np.float32)
+    out = np.zeros((hosts, len(sets)), np.float32)
     for low in range(0, int(shared.sum()), 4096):
         a, b = np.searchsorted(column, (low, low + 4096))
         present = np.zeros((len(sets), 4096), np.float32)
         present[of[a:b], column[a:b] - low] = 1
-        out += present @ present.T
+        out += present[:hosts] @ present.T
     return np.rint(out).astype(np.int64)
 
 
 def _tile_pairs(nodes: np.ndarray, side: np.ndarray, sets: list[np.ndarray], copies: np.ndarray, threshold: float, mode: str) -> list[tuple]:
-    """Pairs (node, node, jaccard), or a forest of them; for ``links`` with rows (node, null, links of this tile) besides."""
-    size = np.array([len(s) for s in sets])
-    both = _overlaps(sets)
-    alike = both / (size[:, None] + size[None, :] - both)
-    cross = side[:, None] != side[None, :] if side.any() else np.ones_like(both, bool)
-    a, b = np.nonzero(np.triu((alike >= threshold - 1e-12) & cross, 1))
+    """Pairs (node, node, jaccard), or a forest of them; for ``links`` with rows (node, null, links of this tile) besides.
+
+    Sides are sorted. Hosts (0) are compared with one another and with guests (2), hosts of another piece (1) with guests only.
+    """
+    size, hosts = np.array([len(s) for s in sets]), int((side < 2).sum())
+    both = _overlaps(sets, hosts)
+    alike = both / (size[:hosts, None] + size[None, :] - both)
+    alike[:, :hosts][side[:hosts] > 0] = 0
+    a, b = np.nonzero(np.triu(alike >= threshold - 1e-12, 1))
     links = []
     if mode == "links" and len(a):
         n = np.bincount(a, copies[b], len(sets)) + np.bincount(b, copies[a], len(sets))
@@ -368,7 +416,8 @@ def _verifier(threshold: float, mode: str) -> Callable:
             _, first = np.unique(node, return_index=True)
             if len(first) < 2:
                 return []
-            sets = [np.frombuffer(rows[i][3], _U) for i in first]
+            first = first[np.argsort(side[first], kind="stable")]
+            sets = [_unpacked(rows[i][3]) for i in first]
             copies = np.array([rows[i][4] for i in first], np.float64)
             return _tile_pairs(node[first], side[first], sets, copies, threshold, mode)
 
@@ -405,6 +454,7 @@ def _missed(signed: DataFrame, placed: DataFrame, links: DataFrame, threshold: f
     a, b = (held.toDF("code", f"key_{x}", f"least_{x}", f"most_{x}", f"early_{x}") for x in "ab")
     near = (F.col("most_a") >= F.col("least_b") * threshold - 1e-6) & (F.col("most_b") >= F.col("least_a") * threshold - 1e-6) & (F.col("early_a") | F.col("early_b"))
     met = a.join(b, "code").where((F.col("key_a") < F.col("key_b")) & near).select("code", "key_a", "key_b").join(links, ["key_a", "key_b"], "left_anti")
+    met = checkpoint(met)
     sizes = placed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= WHOLE).select("key")
     whole = checkpoint(met.select("key_a", "key_b").distinct().join(sizes.toDF("key_a"), "key_a", "left_semi").join(sizes.toDF("key_b"), "key_b", "left_semi"))
     a, b = (posts.select("code", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "node", "size", "soon", "last"))) for x in "ab")
@@ -421,11 +471,33 @@ def _missed(signed: DataFrame, placed: DataFrame, links: DataFrame, threshold: f
     return whole, checkpoint(shared.where(F.col("shared") + rest >= needs).select("node_a", "node_b"))
 
 
+def _places(placed: DataFrame, links: DataFrame) -> DataFrame:
+    """(tile, node, side): where sets are compared. Each pair of a group's sets, or of the sets of two linked groups, meets in one tile.
+
+    A block of a group is the host of the group's later blocks and of smaller groups that it is linked with; those guests are
+    dealt into pieces of about 2 * BLOCK by hash.
+    """
+    groups = checkpoint(placed.groupBy("key").agg(F.count("*").alias("n"), (F.max("blk") + 1).alias("blocks")))
+    a, b = (groups.select(*(F.col(c).alias(f"{c}_{x}") for c in ("key", "n", "blocks"))) for x in "ab")
+    first = F.col("n_a") >= F.col("n_b")
+    host, blocks, guest = (F.when(first, F.col(p)).otherwise(F.col(q)) for p, q in (("key_a", "key_b"), ("blocks_a", "blocks_b"), ("key_b", "key_a")))
+    met = links.join(a, "key_a").join(b, "key_b").select(host.alias("host"), guest.alias("key"), F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)).alias("at"))
+    later = placed.where("blk > 0").select("node", F.col("key").alias("host"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blk") - 1)).alias("at"))
+    sizes = met.join(groups, "key").select("host", "at", "n").unionByName(later.select("host", "at", F.lit(1).cast("bigint").alias("n")))
+    pieces = checkpoint(sizes.groupBy("host", "at").agg(F.ceil(F.sum("n") / (2 * BLOCK)).alias("pieces")))
+    guests = met.join(placed, "key").select("node", "host", "at").unionByName(later.select("node", "host", "at")).join(pieces, ["host", "at"])
+    piece = F.pmod(F.xxhash64("node", F.lit(1)), "pieces")
+    guests = guests.select(F.xxhash64("host", "at", piece).alias("tile"), "node", F.lit(2).alias("side"))
+    hosts = placed.join(pieces.toDF("key", "blk", "pieces"), ["key", "blk"], "left").join(groups.select("key", "n"), "key").where("n > 1 OR pieces IS NOT NULL")
+    hosts = hosts.select("node", "key", "blk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("pieces", F.lit(1)) - 1)).alias("piece"))
+    return hosts.select(F.xxhash64("key", "blk", "piece").alias("tile"), "node", F.when(F.col("piece") == 0, 0).otherwise(1).alias("side")).unionByName(guests)
+
+
 def _sets_and_pairs(docs: DataFrame, n: int, threshold: float, partitions: int, mode: str) -> tuple[DataFrame, DataFrame]:
     """Members (node, doc_id), and verified ``pairs`` of different nodes, a ``forest`` of them that keeps the groups, or that with ``links`` counted."""
     spark = ready(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL")
-    signed = checkpoint(texts.mapInArrow(_signer(n, threshold, partitions, *_prefix_tables(texts, n, threshold)), "doc_id bigint, node bigint, grams bigint, soon bigint, last bigint, prefix array<bigint>, sigs array<bigint>"))
+    signed = checkpoint(texts.mapInArrow(_signer(n, threshold, partitions, *_prefix_tables(texts, n, threshold), _signature_table(texts, n, threshold, partitions)), "doc_id bigint, node bigint, grams bigint, soon bigint, last bigint, prefix array<bigint>, sigs array<bigint>"))
     members = signed.select("node", "doc_id").repartition("node").distinct()
 
     # Buckets: sets that share a signature; the first set of a bucket is its pivot. Pivots are aggregated before
@@ -439,35 +511,26 @@ def _sets_and_pairs(docs: DataFrame, n: int, threshold: float, partitions: int,
     large = label.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     blk = F.pmod(F.xxhash64("node"), F.coalesce("blocks", F.lit(1)))
     placed = checkpoint(label.join(large, "key", "left").select("node", "key", blk.alias("blk")))
-    blocks = placed.select("key", "blk").distinct()
     # Groups that some bucket connects are compared with one another, too.
     keys = shared.join(placed.select("node", "key"), "node").groupBy("sig").agg(F.sort_array(F.collect_set("key")).alias("keys")).where(F.size("keys") > 1)
     links = keys.select(F.posexplode("keys").alias("i", "key_a"), "keys").select("key_a", F.explode(F.slice("keys", F.col("i") + 2, F.size("keys"))).alias("key_b")).distinct()
     links = checkpoint(links)
     whole, missed = _missed(signed, placed, links, threshold)
-    links = links.unionByName(whole)
-    left, right = blocks.toDF("key_a", "blk_a"), blocks.toDF("key_b", "blk_b")
-    within = left.join(right, (F.col("key_a") == F.col("key_b")) & (F.col("blk_a") <= F.col("blk_b")))
-    tiles = within.unionByName(links.join(left, "key_a").join(right, "key_b"))
-    tiles = tiles.withColumn("tile", F.xxhash64("key_a", "blk_a", "key_b", "blk_b"))
-    ends = F.array(F.struct(F.col("key_a").alias("key"), F.col("blk_a").alias("blk"), F.lit(0).alias("side")), F.struct(F.col("key_b").alias("key"), F.col("blk_b").alias("blk"), F.lit(1).alias("side")))
-    same = (F.col("key_a") == F.col("key_b")) & (F.col("blk_a") == F.col("blk_b"))
-    sides = tiles.select("tile", F.explode(F.when(same, F.slice(ends, 1, 1)).otherwise(ends)).alias("end")).select("tile", "end.*")
-    singles = missed.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct().join(placed, "node", "left_anti")
-    searched = checkpoint(placed.unionByName(singles.select("node", F.lit(None).cast("bigint").alias("key"), F.lit(None).cast("bigint").alias("blk"))))
-    wanted = None
-    if (count := searched.count()) <= BROADCAST_IDS:
-        wanted = spark.sparkContext.broadcast(np.sort(np.fromiter((r[0] for r in searched.select("node").toLocalIterator()), np.int64, count)) if count else np.zeros(1, np.int64))
-    sets = texts.select("text").mapInArrow(_set_reader(n, wanted), "node bigint, members binary").groupBy("node").agg(F.first("members").alias("members"))
-    located = searched.join(sets, "node")
+    two = F.array(F.struct(F.col("node_a").alias("node"), F.lit(0).alias("side")), F.struct(F.col("node_b").alias("node"), F.lit(2).alias("side")))
+    own = missed.select(F.xxhash64("node_a", "node_b").alias("tile"), F.explode(two).alias("end")).select("tile", "end.*")
+    places = _places(placed, links.unionByName(whole)).unionByName(own)
     if mode == "links":
-        located = located.join(members.groupBy("node").agg(F.count("*").alias("copies")), "node")
+        places = places.join(members.groupBy("node").agg(F.count("*").alias("copies")), "node")
     else:
-        located = located.withColumn("copies", F.lit(1).cast("bigint"))
-    rows = sides.join(located, ["key", "blk"]).select("tile", "node", "side", "members", "copies")
-    two = F.array(F.struct(F.col("node_a").alias("node"), F.lit(0).alias("side")), F.struct(F.col("node_b").alias("node"), F.lit(1).alias("side")))
-    own = missed.select(F.xxhash64("node_a", "node_b").alias("tile"), F.explode(two).alias("end")).select("tile", "end.*")
-    rows = rows.unionByName(own.join(located, "node").select("tile", "node", "side", "members", "copies"))
+        places = places.withColumn("copies", F.lit(1).cast("bigint"))
+    places = checkpoint(places.select("tile", "node", "side", "copies"))
+    if (count := places.count()) <= BROADCAST_IDS:
+        table = np.fromiter(map(tuple, places.toLocalIterator()), [("tile", "i8"), ("node", "i8"), ("side", "i4"), ("copies", "i8")], count)
+        table = spark.sparkContext.broadcast(table[np.argsort(table["node"])])
+        rows = texts.select("text").mapInArrow(_set_sender(n, table), "tile bigint, node bigint, side int, members binary, copies bigint")
+    else:
+        sets = texts.select("text").mapInArrow(_set_reader(n), "node bigint, members binary").join(places.select("node").distinct(), "node", "left_semi")
+        rows = places.join(sets.groupBy("node").agg(F.first("members").alias("members")), "node").select("tile", "node", "side", "members", "copies")
     rows = rows.repartition("tile").sortWithinPartitions("tile")
     pairs = rows.mapInArrow(_verifier(threshold, mode), "node_a bigint, node_b bigint, jaccard double")
     return members, pairs

@@ -217,6 +217,59 @@ def test_pairs_are_whole_with_few_signatures(spark, monkeypatch, whole):
     same(ngram_join.linked_documents(docs, partitions=1).collect(), brute_links(rows))
 
 
+def test_what_finds_nothing_is_not_shuffled(spark):
+    """Signatures of one text only: of texts that have nothing in common no more than counts is written (before: 2 bytes and more a letter)."""
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"{x:x}" for x in rng.integers(0, 1 << 28, 60)), "en", "a", 0) for k in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(4).localCheckpoint()
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    before = written()
+    assert ngram_join.linked_documents(docs).collect() == []
+    assert written() - before < sum(len(r[1]) for r in rows)
+
+
+def test_every_pair_meets_in_one_tile(spark, monkeypatch):
+    """A group of many blocks, small ones that it is linked with, and links of those; a set is not sent again for each link."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    groups = {0: range(100), **{k: range(100 * k, 100 * k + 1 + k % 3) for k in range(1, 121)}}
+    placed = [(node, key, i // 16) for key, nodes in groups.items() for i, node in enumerate(nodes)]
+    links = [(0, k) for k in range(1, 101)] + [(k, k + 1) for k in range(1, 110)]
+    got = ngram_join._places(spark.createDataFrame(placed, "node bigint, key bigint, blk bigint"), spark.createDataFrame(links, "key_a bigint, key_b bigint")).collect()
+    tiles = defaultdict(list)
+    for tile, node, side in got:
+        tiles[tile].append((node, side))
+    met = Counter()
+    for own in tiles.values():
+        met.update(tuple(sorted((a, b))) for (a, x), (b, y) in itertools.combinations(own, 2) if x == y == 0 or (x == 2) != (y == 2))
+    want = {p for nodes in groups.values() for p in itertools.combinations(nodes, 2)} | {(a, b) for x, y in links for a in groups[x] for b in groups[y]}
+    assert set(met) == want and set(met.values()) == {1}
+    assert len(got) < 0.3 * sum(len(groups[x]) + len(groups[y]) for x, y in links)
+
+
+def test_pairs_are_whole_where_places_are_joined(spark, monkeypatch):
+    """Places of sets that are too many to be sent, and groups of several blocks and pieces."""
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    rng = np.random.default_rng(12)
+    rows = []
+    for _ in range(6):
+        base = [f"w{x}" for x in rng.integers(0, 400, int(rng.choice([12, 30, 80])))]
+        for _ in range(20):
+            copy = list(base)
+            for at in rng.integers(0, len(base), max(1, len(base) // 12)):
+                copy[at] = f"w{rng.integers(0, 400)}"
+            rows.append((len(rows), " ".join(copy), "en", "a", 0))
+    rows += [(1000 + k, rows[k][1], "en", "a", 0) for k in range(0, 120, 5)]
+    docs = spark.createDataFrame(rows, DOCS)
+    same(expanded(ngram_join.similar_sets(docs)), brute_pairs(rows))
+    same(ngram_join.linked_documents(docs).collect(), brute_links(rows))
+
+
 def test_one_of_each_group_stays(docs, wide, none, rows):
     low = {}
     for a, b, _ in sorted(brute_pairs(rows)):
