@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +40,32 @@ def test_no_near_name_is_lost(spark):
     assert sorted(got) == sorted((a, b, distance(a, b)) for a in left for b in right if near(a, b))
 
 
+@pytest.mark.parametrize(("m", "n", "ends"), [(4, 4, ("", "")), (5, 7, ("", " smith")), (8, 9, ("dr. ", "")), (17, 20, ("a", "a")), (60, 66, ("", "b"))])
+def test_distances_of_a_block(m, n, ends):
+    draw = random.Random(m)
+    names = lambda k: ["".join((ends[0], *(draw.choice("abcé") for _ in range(k - len("".join(ends)))), ends[1])) for _ in range(12)]
+    left, right = names(m) if m > len("".join(ends)) else ["dr. "], names(n)
+    points = lambda rows: np.array([[ord(c) for c in x] for x in rows], np.uint32)
+    assert fuzzy.distances(points(left), points(right)).tolist() == [[distance(a, b) for b in right] for a in left]
+
+
+def test_no_near_name_of_a_crowd_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(fuzzy, "CROWD", 8)
+    monkeypatch.setattr(fuzzy, "BLOCK", 16)
+    draw = random.Random(6)
+    word = lambda k: "".join(draw.choice("abcde") for _ in range(k))
+    left, right = {f"dr. {word(7)} smith" for _ in range(70)}, {f"dr. {word(k % 3 + 6)} smith" for k in range(90)}
+    got = [tuple(r) for r in fuzzy.near_either(spark.createDataFrame([(x,) for x in left], "s string"), spark.createDataFrame([(x,) for x in right], "t string")).collect()]
+    assert sorted(got) == sorted((a, b, distance(a, b)) for a in left for b in right if near(a, b))
+    assert len(got) > 100
+
+
+def test_names_are_not_sent_to_the_driver(spark):
+    rows = spark.createDataFrame([("a", "Dr. Ann Cole", ["P"], "1")], "qid string, name string, labels array<string>, id string")
+    plan = resolve.candidates(rows, rows.select(F.col("qid").alias("id"), "name", "labels"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan.replace("BroadcastExchange HashedRelationBroadcastMode(List(cast(input[0, int", "")
+
+
 def matches(a, b):
     (low_a, norm_a, labels_a), (low_b, norm_b, labels_b) = a, b
     part = lambda x, y: " " not in x and len(x) >= 4 and " " in y and x in y.split(" ")
