@@ -1,6 +1,7 @@
 """Queries over whole tables that have no SQL, against brute force over small ones."""
 
 import math
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -8,7 +9,7 @@ from collections import defaultdict
 import pytest
 
 from quillstone.fixtures import propositions
-from quillstone.operators import revise
+from quillstone.operators import consolidate, graph, revise
 from quillstone.queries import QUERIES
 
 MENTION = "array<struct<span:string,type:string,resolved_id:string,role:string>>"
@@ -120,3 +121,49 @@ def test_consolidation_is_of_every_event(spark, sf):
     for i, (action, match, confidence) in want.items():
         assert got[i][:2] == (action, match) and abs(got[i][2] - confidence) < 2e-5
     assert len({a for a, _, _ in want.values()}) > 2
+
+
+def test_matches_of_statements_of_all_lengths(spark):
+    """Words that all statements have, and statements shorter and longer than those listed at all subsets of words."""
+    draw = random.Random(4)
+    text = lambda: " ".join(["the", *draw.sample("abcdefghijklmnop", draw.randint(0, 11))])
+    rows = lambda p, n: [(f"{p}{k}", "c" if k % 3 else "d", text(), "ACTIVE", [("s", "P", draw.choice("xyz"), "r")][: k % 2]) for k in range(n)]
+    schema = f"id string, context_id string, text string, status string, mentions {MENTION}"
+    new, old = spark.createDataFrame(rows("n", 60), schema), spark.createDataFrame(rows("o", 150), schema)
+    got = sorted(map(tuple, revise.similar(new, old).collect()))
+    want = candidates(new.collect(), old.collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want] and all(abs(x[2] - y[2]) < 1e-12 for x, y in zip(got, want, strict=True))
+    scored = {}
+    for least in (0.7, 0.45, 0.2):
+        best = {r["id"]: r["match_id"] for r in consolidate.best_matches(new, old, least).collect()}
+        words, ids = (lambda r: set(r["text"].lower().split())), (lambda r: {m["resolved_id"] for m in r["mentions"]})
+        for n in new.collect():
+            for o in old.collect():
+                e, f = ids(n), ids(o)
+                scored[n["id"], o["id"]] = 0.7 * overlap(words(n), words(o)) + 0.3 * (overlap(e, f) if e and f else 0.0 if e or f else 0.5) if n["context_id"] == o["context_id"] else -1
+            near = [(-round(s, 9), o) for (i, o), s in scored.items() if i == n["id"] and s >= least]
+            assert best.get(n["id"]) == (min(near)[1] if near else None)
+
+
+def test_a_word_of_all_statements_joins_none(spark):
+    from quillstone.operators.overlap import meetings
+
+    side = lambda p: spark.range(300).selectExpr("'c' AS context_id", f"concat('{p}', id) AS {p}id", f"array('user', concat('u', id), concat('k', id % 3)) AS {p}words")
+    met = meetings(side("a"), side("b"), "context_id", "awords", "bwords", 4 / 7, lambda m, n: (m + n) * 4 / 11)
+    assert {(r["aid"][1:], r["bid"][1:]) for r in met.collect()} == {(str(k), str(k)) for k in range(300)}
+
+
+@pytest.mark.parametrize("few", [0, 3, 64])
+def test_links_of_hubs_and_others(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "LIGHT", few)
+    monkeypatch.setattr(graph, "WIDE", 2)
+    draw = random.Random(8)
+    drawn = {(f"e{min(draw.randrange(14), draw.randrange(14))}", f"e{draw.randrange(14)}", f"p{draw.randrange(30)}") for _ in range(34)}
+    edges = {(x, y, p) for a, b, p in drawn for x, y in ((a, b), (b, a)) if a != b}
+    near = defaultdict(lambda: defaultdict(set))
+    for a, b, p in edges:
+        near[a][b].add(p)
+    want = [(a, b, sorted(x), sorted(set().union(*(near[a][k] | near[b][k] for k in x)))) for a in near for b in near if a < b and b not in near[a] and (x := near[a].keys() & near[b].keys())]
+    got = graph.two_hop_links(spark.createDataFrame(sorted(edges), "a string, b string, p string")).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 5
+
