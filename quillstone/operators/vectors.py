@@ -27,7 +27,15 @@ def top_k(vectors: DataFrame, query_vector: list[float], k: int, threshold: floa
     return scored.where(F.col("score") >= threshold).orderBy(F.desc("score"), "id").limit(k)
 
 
-def _products(threshold: float) -> Callable:
+def _first(a: np.ndarray, b: np.ndarray, score: np.ndarray, k: int | None) -> tuple[np.ndarray, ...]:
+    """Of the pairs the k most similar of each a (ties: the smallest b), or all."""
+    if k is None or not len(a):
+        return a, b, score
+    rows = pd.DataFrame({"a": a, "b": b, "s": score}).sort_values(["a", "s", "b"], ascending=[True, False, True]).groupby("a").head(k)
+    return rows["a"].to_numpy(), rows["b"].to_numpy(), rows["s"].to_numpy()
+
+
+def _products(threshold: float, k: int | None = None) -> Callable:
     def run(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for g in groups:
             m = np.stack(g["embedding"].to_numpy()).astype(np.float64)
@@ -43,13 +51,18 @@ def _products(threshold: float) -> Callable:
             ok = left < right if len(b) and b is a else left != right
             left, right, score = left[ok], right[ok], score[ok]
             swap = left > right
-            yield pd.DataFrame({"id_a": np.where(swap, right, left), "id_b": np.where(swap, left, right), "score": score})
+            left, right, score = _first(np.where(swap, right, left), np.where(swap, left, right), score, k)
+            yield pd.DataFrame({"id_a": left, "id_b": right, "score": score})
 
     return run
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """(id_a < id_b, score) of all pairs of a context with a cosine of at least the threshold. Vectors of null are left out."""
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK, k: int | None = None) -> DataFrame:
+    """(id_a < id_b, score) of all pairs of a context with a cosine of at least the threshold. Vectors of null are left out.
+
+    With ``k`` a pair of blocks gives only the ``k`` most similar of each ``id_a`` (ties: the smallest ``id_b``),
+    among which are those of all blocks.
+    """
     ready(vectors.sparkSession)
     rows = vectors.where("embedding IS NOT NULL").select("context_id", "id", "embedding")
     count = rows.groupBy("context_id").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
@@ -58,12 +71,12 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = BLOCK) -> D
     tiles = spread.select("context_id", "id", "embedding", F.least("blk", "with").alias("i"), F.greatest("blk", "with").alias("j"), F.when(F.col("blk") <= F.col("with"), 0).otherwise(1).alias("side"))
 
     def tile(g: pd.DataFrame) -> pd.DataFrame:
-        return next(_products(threshold)(iter([g])))
+        return next(_products(threshold, k)(iter([g])))
 
     return tiles.groupBy("context_id", "i", "j").applyInPandas(tile, "id_a string, id_b string, score double")
 
 
 def clusters(vectors: DataFrame, threshold: float, k: int, block: int = BLOCK) -> DataFrame:
     """For each anchor the k most similar of the ids greater than it: (anchor_id, similar, size)."""
-    ranked = similar_pairs(vectors, threshold, block).withColumn("rank", F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("score"), "id_b"))).where(F.col("rank") <= k)
+    ranked = similar_pairs(vectors, threshold, block, k).withColumn("rank", F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("score"), "id_b"))).where(F.col("rank") <= k)
     return ranked.groupBy(F.col("id_a").alias("anchor_id")).agg(F.sort_array(F.collect_list(F.struct("rank", F.col("id_b").alias("id"), "score"))).alias("similar")).withColumn("size", F.size("similar"))

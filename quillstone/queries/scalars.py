@@ -218,4 +218,4 @@ def j03(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("w01_ranked_similar", sql("SELECT id_a, id_b, rank FROM (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY score DESC, id_b) AS rank FROM pairs WHERE score >= 0.1500007) WHERE rank <= 3", "vectors", pairs=_PAIRS))
 def w01(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("id_a").orderBy(F.desc("score"), "id_b")
-    return similar_pairs(vectors(spark, sf_dir), 0.1500007).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("id_a", "id_b", "rank")
+    return similar_pairs(vectors(spark, sf_dir), 0.1500007, k=3).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select("id_a", "id_b", "rank")
