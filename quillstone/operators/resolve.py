@@ -19,7 +19,7 @@ LEVELS = ("id", "exact", "normalized", "partial", "fuzzy", "vector")
 
 #: Confidence of a match that a searcher is sure of, and of one that a bakeoff picks.
 SURE, PICKED = 0.95, 0.8
-ACCEPT, CANDIDATE, NEAREST, BLOCK = 0.95, 0.7, 10, 1024
+ACCEPT, CANDIDATE, NEAREST, BLOCK, STRIP = 0.95, 0.7, 10, 4096, 256
 _NO_LABELS = "array<string>"
 
 
@@ -81,16 +81,29 @@ def candidates(asked: DataFrame, entities: DataFrame) -> DataFrame:
     return out
 
 
-def _nearest(k: int, least: float, sure: float) -> Callable:
+def _agreeing(a: pd.Series, b: pd.Series) -> np.ndarray:
+    """Which rows have a label in common, or no labels on one side; each list of labels is compared once."""
+    sides = [pd.factorize(pd.Series([frozenset(x) for x in rows], dtype=object)) for rows in (a, b)]
+    (i, of_a), (j, of_b) = sides
+    return np.array([[not x or not y or not x.isdisjoint(y) for y in of_b] for x in of_a], bool)[np.ix_(i, j)]
+
+
+def _nearest(k: int, least: float) -> Callable:
+    """The k most similar of a block (ties: the smallest ids) of each row asked for in another."""
+
     def run(g: pd.DataFrame) -> pd.DataFrame:
         a, b = g[g["side"] == 0], g[g["side"] == 1]
         if not len(a) or not len(b):
             return pd.DataFrame({"qid": [], "id": [], "score": []})
         unit = lambda rows: (m := np.stack(rows["embedding"].to_numpy()).astype(np.float64)) / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
-        s = unit(a) @ unit(b).T
-        agree = np.array([[not len(x) or not len(y) or not set(x).isdisjoint(y) for y in b["labels"]] for x in a["labels"]])
-        i, j = np.nonzero((s >= least) & agree)
-        return pd.DataFrame({"qid": a["qid"].to_numpy()[i], "id": b["qid"].to_numpy()[j], "score": s[i, j]})
+        qid, other, sa, sb = a["qid"].to_numpy(), b["qid"].to_numpy(), unit(a), unit(b)
+        parts = []
+        for lo in range(0, len(a), STRIP):
+            s = sa[lo : lo + STRIP] @ sb.T
+            i, j = np.nonzero((s >= least) & _agreeing(a["labels"].iloc[lo : lo + STRIP], b["labels"]))
+            parts.append(pd.DataFrame({"qid": qid[lo + i], "id": other[j], "score": s[i, j]}))
+        met = pd.concat(parts, ignore_index=True)
+        return met.sort_values(["qid", "score", "id"], ascending=[True, False, True]).groupby("qid").head(k) if len(met) else met
 
     return run
 
@@ -99,8 +112,8 @@ def vector_candidates(asked: DataFrame, entities: DataFrame, least: float = CAND
     """The same columns as ``candidates`` for the vector level, of ``asked`` (qid, embedding, labels) and entities (id, embedding, labels).
 
     The ``k`` most similar with a cosine of at least ``least`` are considered; those of at least ``sure``
-    count as sure. Blocks of both sides are multiplied as matrices, a pair of blocks a task. Rows of a
-    null vector are left out.
+    count as sure. Blocks of both sides are multiplied as matrices, a pair of blocks a task, a strip of rows
+    at a time; a block gives ``k`` at most. Rows of a null vector are left out.
     """
     ready(asked.sparkSession)
     labels = F.coalesce("labels", F.array().cast(_NO_LABELS))
@@ -109,8 +122,9 @@ def vector_candidates(asked: DataFrame, entities: DataFrame, least: float = CAND
     blocks = lambda df: max(1, -(-df.count() // BLOCK))
     na, nb = blocks(a), blocks(b)
     spread = lambda df, own, other, side: df.select("*", F.pmod(F.xxhash64("qid"), F.lit(own)).cast("int").alias(f"_{side}"), F.explode(F.sequence(F.lit(0), F.lit(other - 1))).alias(f"_{1 - side}"), F.lit(side).alias("side"))
-    tiles = spread(a, na, nb, 0).unionByName(spread(b, nb, na, 1))
-    near = tiles.groupBy("_0", "_1").applyInPandas(_nearest(k, least, sure), "qid string, id string, score double")
+    parts = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tiles = spread(a, na, nb, 0).unionByName(spread(b, nb, na, 1)).repartition(min(parts, na * nb), "_0", "_1")
+    near = tiles.groupBy("_0", "_1").applyInPandas(_nearest(k, least), "qid string, id string, score double")
     ranked = near.withColumn("_nth", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).where(F.col("_nth") <= k)
     is_sure = F.col("score") >= sure
     return ranked.groupBy("qid").agg(F.lit(5).alias("level"), F.count_if(is_sure).alias("n"), F.min(F.when(is_sure, F.col("id"))).alias("id"), F.count("*").alias("considered"), F.max("score").alias("score"), F.min(F.struct("_nth", "id"))["id"].alias("best"))
