@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scoring import resolved_ids, text_words
 from ..functions.text import canonical
+from ..session import checkpoint
+from .overlap import meetings
 
 AUTO_MERGE, SIMILAR, REINFORCE, CANDIDATES = 0.95, 0.5, 0.7, 5
+#: Most words of a statement that is listed at all its subsets of words.
+SHORT = 6
 
 
 def merged(c: Column, d: Column, new: Column) -> tuple[Column, Column]:
@@ -42,19 +46,38 @@ def first_of_batch(new: DataFrame) -> DataFrame:
 def similar(new: DataFrame, existing: DataFrame, k: int = CANDIDATES, least: float = SIMILAR) -> DataFrame:
     """(id, match_id, score): the k most similar active rows of each new row's context (ties: the smallest ids).
 
-    The score is the cosine of the two sets of words. Statements that share a word meet by an equi-join on
-    it, those that share none score 0, so no pair is lost; rows of equal canonical text are compared once.
+    The score is the cosine of the two sets of words, and positive. Statements of at most ``SHORT`` words meet
+    at any words that they share, where only the ``k`` smallest ids are kept, so a word that all statements
+    have costs no more than another; longer ones meet at their rare words (see ``overlap``). No match is lost.
     """
     words = F.filter(text_words(F.col("_text")), lambda w: w != "")
     side = lambda df: df.select("context_id", canonical(F.col("text")).alias("_text"), "id")
     fresh, known = side(new), side(existing.where("status = 'ACTIVE'"))
-    posted = lambda df, p: df.select("context_id", "_text").distinct().withColumn("_words", words).select("context_id", F.col("_text").alias(f"{p}text"), F.col("_words").alias(f"{p}words"), F.explode("_words").alias("_w"))
-    met = posted(fresh, "_a").join(posted(known, "_b"), ["context_id", "_w"]).withColumn("_both", F.array_intersect("_awords", "_bwords")).where(F.col("_both")[0] == F.col("_w"))
-    score = F.size("_both") / F.sqrt((F.size("_awords") * F.size("_bwords")).cast("double"))
-    scored = met.select("context_id", "_atext", F.col("_btext").alias("_text"), score.alias("score")).where(F.col("score") >= least)
+    texts = lambda df, p: df.select("context_id", "_text").distinct().withColumn(f"{p}words", F.array_sort(words)).withColumnRenamed("_text", f"{p}text").where(F.size(f"{p}words") > 0)
     nth = lambda keys, *by: F.row_number().over(Window.partitionBy("context_id", *keys).orderBy(*by))
-    rows = known.withColumn("_nth", nth(["_text"], "id")).where(F.col("_nth") <= k).select("context_id", "_text", F.col("id").alias("match_id"))
-    best = scored.join(rows, ["context_id", "_text"]).withColumn("_nth", nth(["_atext"], F.desc("score"), "match_id")).where(F.col("_nth") <= k)
+    rows = known.withColumn("_nth", nth(["_text"], "id")).where(F.col("_nth") <= k).select("context_id", F.col("_text").alias("_btext"), F.col("id").alias("match_id"))
+    a, b = checkpoint(texts(fresh, "_a")), checkpoint(texts(known, "_b"))
+    n = F.size("_awords")
+    score = F.size(F.array_intersect("_awords", "_bwords")) / F.sqrt((n * F.size("_bwords")).cast("double"))
+    short = lambda p: F.size(f"{p}words") <= SHORT
+    # Of the statements of one size with the same words of these, only the k smallest ids can be among the k most similar.
+    subsets = lambda p: F.explode(F.expr(f"transform(sequence(1, shiftleft(1, size({p}words)) - 1), m -> filter({p}words, (w, i) -> (shiftright(m, i) & 1) = 1))")).alias("_key")
+    keys = ["context_id", "_key", "_size"]
+    lists = b.where(short("_b")).join(rows, ["context_id", "_btext"]).select("context_id", "_btext", "_bwords", "match_id", F.size("_bwords").alias("_size"), subsets("_b"))
+    lists = lists.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy("match_id"))).where(F.col("_nth") <= k).drop("_nth")
+    own = F.size("_key")
+    square = max(least * least, 1e-6)
+    most = F.least(F.lit(SHORT), F.floor(own * own / (n * F.lit(square)) + 1e-6)).cast("int")
+    asked = a.where(short("_a")).select("context_id", "_atext", "_awords", subsets("_a")).where(most >= own).withColumn("_size", F.explode(F.sequence(own, most)))
+    scored = asked.hint("merge").join(lists, keys).select("context_id", "_atext", "match_id", score.alias("score")).where(F.col("score") >= least).distinct()
+    # Longer statements meet at their rare words.
+    for x, y in ((a.where(~short("_a")), b), (a.where(short("_a")), b.where(~short("_b")))):
+        if x.isEmpty() or y.isEmpty():
+            continue
+        met = meetings(x, y, "context_id", "_awords", "_bwords", square, lambda m, n: F.sqrt(m * n) * least)
+        long = met.select("context_id", "_atext", "_btext", score.alias("score")).where(F.col("score") >= least).distinct().join(rows, ["context_id", "_btext"])
+        scored = scored.unionByName(long.select("context_id", "_atext", "match_id", "score"))
+    best = scored.withColumn("_nth", nth(["_atext"], F.desc("score"), "match_id")).where(F.col("_nth") <= k)
     return fresh.withColumnRenamed("_text", "_atext").join(best, ["context_id", "_atext"]).select("id", "match_id", "score")
 
 
