@@ -6,10 +6,13 @@ import re
 import zlib
 from collections import defaultdict
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quillstone.fixtures import propositions
-from quillstone.operators import consolidate, graph, revise
+from quillstone.operators import consolidate, graph, resolve, revise, vectors
+from quillstone.plans import ingest
 from quillstone.queries import QUERIES
 
 MENTION = "array<struct<span:string,type:string,resolved_id:string,role:string>>"
@@ -167,3 +170,42 @@ def test_links_of_hubs_and_others(spark, monkeypatch, few):
     got = graph.two_hop_links(spark.createDataFrame(sorted(edges), "a string, b string, p string")).collect()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 5
 
+
+def test_contradictions_of_crowds(spark, monkeypatch):
+    monkeypatch.setattr(consolidate, "CHUNK", 2)
+    monkeypatch.setattr(consolidate, "BLOCK", 3)
+    draw = random.Random(2)
+    rows = [(f"r{k}", draw.choice("cd"), f"{draw.choice('xy')} {draw.choice(('error', 'purchase'))}", "ACTIVE", [("s", "P", e, "r") for e in draw.sample("uvw", draw.randint(0, 3))]) for k in range(70)]
+    props = spark.createDataFrame(rows, f"id string, context_id string, text string, status string, mentions {MENTION}")
+    test = lambda a, b: a.endswith("error") & b.endswith("purchase")
+    shares = lambda p, q: {m[2] for m in p[4]} & {m[2] for m in q[4]}
+    met = [(p, q) for p in rows for q in rows if p[0] < q[0] and p[1] == q[1] and shares(p, q)]
+    assert sorted((r["id_a"], r["id_b"]) for r in consolidate.contradiction_candidates(props).collect()) == sorted((p[0], q[0]) for p, q in met)
+    got = consolidate.contradiction_candidates(props, test, F.col("text")).collect()
+    assert sorted((r["id_a"], r["id_b"], r["row_a"]["text"]) for r in got) == sorted((p[0], q[0], p[2]) for p, q in met if p[2][2:] != q[2][2:])
+
+
+def test_entities_of_names_of_many_and_few_mentions(spark, monkeypatch):
+    known = spark.createDataFrame([("k", "Ann Cole", ["P"])], "id string, name string, labels array<string>")
+    mentions = spark.createDataFrame([(f"c{k}", k, (" Ann Cole", "ann cole", "Bob Ray", "Eve")[k % 4 if k < 9 else 2], "P" if k else None) for k in range(40)] + [("z", None, "Eve ", "P"), ("y", 1, " ", "P")], "chunk_id string, place int, span string, type string")
+    rows = lambda: sorted(map(repr, ingest.chunk_entities(mentions, known).collect()))
+    want = rows()
+    for most in (0, 5):
+        monkeypatch.setattr(ingest, "OFTEN", most)
+        assert rows() == want
+    assert len(want) == 41 and sum("kind='REFERENCE'" in r for r in want) == 4
+
+
+def test_a_block_gives_the_most_similar_only(spark):
+    draw = random.Random(3)
+    rows = [(f"v{k:02}", "c", [draw.random() for _ in range(4)]) for k in range(40)]
+    df = spark.createDataFrame(rows, "id string, context_id string, embedding array<double>")
+    every = defaultdict(list)
+    for r in vectors.similar_pairs(df, 0.0, 64).collect():
+        every[r["id_a"]].append((-r["score"], r["id_b"]))
+    got = vectors.similar_pairs(df, 0.0, 64, 2).collect()
+    assert sorted((r["id_a"], r["id_b"]) for r in got) == sorted((a, b) for a, x in every.items() for _, b in sorted(x)[:2])
+    labelled = df.select("id", "embedding", F.when(F.col("id") < "v20", F.array(F.lit("P"))).when(F.col("id") < "v30", F.array(F.lit("Q"))).alias("labels"))
+    near = {r["qid"]: r["considered"] for r in resolve.vector_candidates(labelled.withColumnRenamed("id", "qid"), labelled, -1.0, k=100).collect()}
+    assert [near[f"v{k}"] for k in (10, 25, 35)] == [30, 20, 40]
+    assert len(resolve._nearest(3, -1.0)(labelled.withColumnRenamed("id", "qid").withColumn("labels", F.array().cast("array<string>")).toPandas().pipe(lambda g: pd.concat([g.assign(side=0), g.assign(side=1)])))) == 120
