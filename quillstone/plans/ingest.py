@@ -13,6 +13,8 @@ from ..operators.numbering import numbered
 from ..session import checkpoint, ready
 
 WINDOW, OVERLAP, TRIGGER = 20, 2, 4
+#: Mentions of a name from which its entity is sent to all tasks.
+OFTEN = 10_000
 #: Windows of extraction: items in one, items shared with the one before, new items that set it off.
 EXTRACTION = {"window": 10, "overlap": 2, "trigger": 6}
 
@@ -109,8 +111,20 @@ def chunk_entities(mentions: DataFrame, known: DataFrame) -> DataFrame:
     normalised name (REFERENCE if that has all its labels, else UPDATED), or else NEW: names of all chunks
     are resolved as one batch, and the new entity's id comes from the first of them.
     """
-    named = mentions.where(F.trim("span") != "").select("chunk_id", "place", F.trim("span").alias("name"), F.array("type").alias("labels"), F.sha2(F.concat_ws("|", F.lower(F.trim("span")), F.lower("type")), 256).alias("qid"))
-    asked = checkpoint(named.groupBy("qid").agg(F.min(F.struct("place", "name", "labels")).alias("b")).select("qid", "b.name", "b.labels"))
+    named = mentions.where(F.trim("span") != "").select("chunk_id", "place", F.trim("span").alias("name"), "type")
+    missing = F.count_if(F.col("place").isNull())
+    kinds = named.groupBy("name", "type").agg(F.when(missing == 0, F.min("place")).alias("place"), F.count("*").alias("n"))
+    qid = F.sha2(F.concat_ws("|", F.lower("name"), F.lower("type")), 256)
+    kinds = checkpoint(kinds.withColumn("labels", F.array("type")).withColumn("qid", qid))
+    asked = checkpoint(kinds.groupBy("qid").agg(F.min(F.struct("place", "name", "labels")).alias("b")).select("qid", "b.name", "b.labels"))
     old = resolve.known_entities(asked, known).select("qid", F.col("id"), F.when(F.col("kind") == "EXISTING", "UPDATED").otherwise("REFERENCE").alias("kind"))
     new = resolve.batch_entities(asked.join(old.select("qid"), "qid", "left_anti")).select("qid", F.concat(F.lit("new-"), "entity").alias("id"), F.lit("NEW").alias("kind"))
-    return named.join(old.unionByName(new), "qid").select("chunk_id", "place", "id", "kind", "name", "labels")
+    found = checkpoint(kinds.join(old.unionByName(new), "qid").select(F.col("name").alias("_name"), F.col("type").alias("_type"), "id", "kind", "n"))
+    same = (F.col("name") == F.col("_name")) & F.col("type").eqNullSafe(F.col("_type"))
+    # A name of many mentions is sent to all of them, so that they aren't gathered in one task; there are few of those.
+    often, rest = found.where(F.col("n") > OFTEN), found.where(F.col("n") <= OFTEN)
+    out = ["chunk_id", "place", "id", "kind", "name", F.array("type").alias("labels")]
+    rows = named.join(F.broadcast(often), same).select(*out)
+    if rest.isEmpty():
+        return rows
+    return rows.unionByName(named.join(F.broadcast(often), same, "left_anti").join(rest, same).select(*out))
